@@ -1,7 +1,7 @@
 """The subpackage's registered queries and their SQL."""
 
-from rillstack.llm import decontaminate, jaccard_join, line_dedup, mixing, ordinal_quality
+from rillstack.llm import decontaminate, html_extract, jaccard_join, line_dedup, mixing, ordinal_quality, quality_rules, secret_scan, suffix_dedup, url_filter
 
-_MODULES = [line_dedup, mixing, decontaminate, jaccard_join, ordinal_quality]
+_MODULES = [suffix_dedup, secret_scan, quality_rules, line_dedup, url_filter, mixing, html_extract, decontaminate, jaccard_join, ordinal_quality]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
