@@ -1,17 +1,21 @@
-"""Suffix-array dedup: exact repeated strings of `length` bytes, found in collection Burrows-Wheeler transforms.
+"""Suffix-array dedup: exact repeated strings of `length` bytes, found in column-wise Burrows-Wheeler transforms.
 
 A byte is removed if a string of `length` bytes that covers it also starts earlier (smaller doc_id, or the same document,
 earlier start). The corpus is first reduced to what can repeat: each window of `length` bytes selects its leftmost
-smallest 24-gram hash as anchor, so equal windows have equal anchors at equal places, and the windows of one anchor
-place are one segment (at most 2 * length bytes). Segments whose anchor's hash occurs once hold no repeated window.
-
-The others, each distinct content once with its first place, are dealt out by anchor. A task takes them a few thousand at a
-time and builds the collection's Burrows-Wheeler transform column by column: each round inserts one more symbol of
-every segment, from its end to its start, at the place its rank gives, and updates the common prefixes with the
-least ones between the neighbours. Windows whose common prefix is `length` or more are equal; the first place of each stays.
-The rounds are at most 2 * length, however long a document is, and the sorted runs that feed them are Spark's own external files.
-
-An anchor that is very frequent (`HOT` places or more) is taken window by window instead: its distinct windows are grouped
+smallest 16-gram hash as anchor, so equal windows have equal anchors at equal places, and the windows of one anchor
+place are one segment (under 2 * length bytes). Segments whose anchor's hash occurs once hold no repeated window.
+Segments are grouped by content (anchor and a hash, with their first place), and the contents of one anchor
+that has several go on.
+
+They are dealt out by anchor; a task takes them some ten thousand at a time, lays them out so that their anchors share a
+column, and goes through the columns from right to left. Each round inserts one more symbol of every
+segment: the suffixes are put in order by the symbols and their former order, which is the transform's step, and
+the common prefixes become one more than the least between former neighbours of one symbol. Suffixes of one column only
+need each other, as equal windows have their anchor in one column, so a round costs the number of segments.
+Windows whose common prefix is `length` or more are equal; the first place of each stays. The runs that feed
+the rounds are Spark's own external shuffle files, and there are at most 2 * length rounds, however long a document is.
+
+An anchor with `HOT` contents or more is taken window by window instead: its distinct windows are grouped
 by their whole content, partially before the shuffle, so that no anchor makes a large group. Both ways are exact.
 
 Defined cases: a null or empty text has no bytes (and its hash is that of nothing); rows equal in doc_id and text are one
@@ -24,33 +28,37 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstack.llm.text import U64, buffers, mix, row_key, slices, spark_tables, stash
 
-LENGTH, GRAM = 100, 24
-HOT = 1000
+LENGTH, GRAM = 100, 16
+#: Contents of one anchor from which it is taken window by window.
+HOT = 2000
 #: Segments that a task's transform takes at once, about.
-TOGETHER = 1500
+TOGETHER = 20_000
 _P = 0x9E3779B97F4A7C15
 _END = 0xFF  # in no UTF-8 text
+_R = 0xD1342543DE82EF95
+#: Anchor hashes have 48 bits: a chance meeting costs time only, the contents decide.
+_SHORT = U64(16)
 
 
 def _grams(b: np.ndarray) -> np.ndarray:
-    """A hash of the 24 bytes from each place on."""
+    """A hash of the GRAM bytes from each place on."""
     h, n = b.astype(U64) + U64(1), 1
-    parts = {}
-    while n < 16:
+    while n < GRAM:
         h, n = h[:-n] * U64(pow(_P, n, 1 << 64)) + h[n:], 2 * n
-        parts[n] = h
-    return parts[16][:-8] * U64(pow(_P, 8, 1 << 64)) + parts[8][16:]
+    return h
 
 
 def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Anchor hash, document, first window's start (in the document) and number of windows of each segment of a slice."""
+    """Of each segment of a slice: anchor hash, document, and packed: first window's start in the document (from bit
+    16), the anchor's distance from it (8 bits), number of windows (8 bits)."""
     own, cut = data[off[0] : off[-1]], off - off[0]
-    nothing = (np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
+    nothing = (np.zeros(0, np.int64),) * 3
     if len(own) < length:
         return nothing
     g = mix(_grams(own), 1)
@@ -70,172 +78,207 @@ def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[n
         return nothing
     head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1))))
     n = np.diff(np.append(head, len(start)))
-    first = start[head]
+    first, anchor = start[head], anchor[head]
     doc = np.searchsorted(cut, first, "right") - 1
-    return mix(g[anchor[head]], 2), doc, first - cut[doc], n
-
-
-def transform(text: np.ndarray, cut: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each window, window): windows are numbered by segment and start; equal ones have one class.
-
-    text, cut: the segments' bytes and offsets. Builds transform and common prefixes column by column from the right."""
-    n_seg, size = len(cut) - 1, np.diff(cut)
-    last = cut[1:] - 1
-    windows = np.concatenate(([0], np.cumsum(size - length + 1)))
-    bwt, lcp = text[last].copy(), np.zeros(n_seg, np.uint8)
-    ident = None
-    live, pos = np.arange(n_seg), np.arange(n_seg)
-    for t in range(1, int(size.max()) + 1):
-        n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        r = rank[pos]
-        c = bwt[pos]
-        # common prefixes with the neighbours of the same first symbol: one more than the least in between
-        padded = np.append(lcp, 0)
-        before = order[np.maximum(r - 1, 0)]
-        has = (r > 0) & (bwt[before] == c)
-        span = np.stack([np.where(has, before + 1, pos), pos + 1], 1).ravel()
-        low = np.where(has, np.minimum.reduceat(padded, span)[::2], 0)
-        up = np.where(has, np.minimum(low.astype(np.int64) + 1, length), 0).astype(np.uint8)
-        after = order[np.minimum(r + 1, n - 1)]
-        has = (r + 1 < n) & (bwt[after] == c)
-        span = np.stack([np.minimum(pos + 1, n), np.where(has, after + 1, np.minimum(pos + 2, n))], 1).ravel()
-        low = np.minimum.reduceat(padded, span)[::2]
-        down = np.where(has, np.minimum(low.astype(np.int64) + 1, length), 0).astype(np.uint8)
-        new = n_seg + r
-        total = n + len(live)
-        fresh = np.zeros(total, bool)
-        fresh[new] = True
-        old = ~fresh
-        nbwt, nlcp = np.empty(total, np.uint8), np.empty(total, np.uint8)
-        nbwt[old], nlcp[old] = bwt, lcp
-        more = size[live] > t
-        nbwt[new] = np.where(more, text[np.maximum(cut[live + 1] - 1 - t, 0)], _END)
-        nlcp[new] = up
-        behind = new + 1
-        tail = behind < total
-        nlcp[behind[tail]] = np.where(fresh[behind[tail]], nlcp[behind[tail]], down[tail])
-        if t >= length:
-            wide = np.full(total, -1, np.int64)
-            if ident is not None:
-                wide[old] = ident
-            wide[new] = windows[live] + size[live] - t
-            ident = wide
-        bwt, lcp = nbwt, nlcp
-        live, pos = live[more], new[more]
-    klass = np.cumsum(lcp < length)
-    found = ident >= 0
-    return klass[found], ident[found]
+    return (mix(g[anchor], 2) >> _SHORT).view(np.int64), doc, ((first - cut[doc]) << 16) | ((anchor - first) << 8) | n
+
+
+def _unpack(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return p >> 16, (p >> 8) & 255, p & 255
+
+
+def transform(text: np.ndarray, cut: np.ndarray, lead: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(class, window) of every window: windows are numbered by segment and start, equal ones have one class.
+
+    text, cut: the segments' bytes and offsets; lead: each anchor's distance from its segment's start."""
+    size = np.diff(cut)
+    n, windows = len(size), size - length + 1
+    number = np.cumsum(windows) - windows
+    left, right = int(lead.max()), int((size - lead).max())
+    table = np.full((left + right, n), _END, np.uint8)  # a row for each column of the layout
+    who = np.repeat(np.arange(n), size)
+    table[left - lead[who] + np.arange(len(text)) - cut[:-1][who], who] = text[cut[0] : cut[-1]]
+    order, lcp = np.arange(n), np.zeros(n, np.uint8)
+    klass, ident, base = [], [], 0
+    for x in range(left + right - 1, -1, -1):
+        symbol = table[x][order]
+        step = np.argsort(symbol, kind="stable")
+        symbol = symbol[step]
+        low = np.minimum.reduceat(np.append(lcp, np.uint8(0)), step + 1)[:-1]
+        order, lcp = order[step], np.zeros(n, np.uint8)
+        lcp[1:] = np.where(symbol[1:] == symbol[:-1], np.minimum(low, length - 1) + 1, 0)
+        at = x - left + lead[order]  # the column's place in each segment
+        own = np.flatnonzero((at >= 0) & (at < windows[order]))
+        if len(own):
+            klass.append(base + np.cumsum(lcp < length)[own])
+            ident.append(number[order[own]] + at[own])
+            base += n + 1
+    return np.concatenate(klass), np.concatenate(ident)
+
+
+def _runs(first: np.ndarray, d: np.ndarray, k: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Runs (_d, _k, s, n) of the windows marked in `first`, of segments with n windows from s on."""
+    owner = np.repeat(np.arange(len(n)), n)
+    start = s[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    owner, start = owner[first], start[first]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
+    return pa.RecordBatch.from_arrays([pa.array(d[owner[head]]), pa.array(k[owner[head]]), pa.array(start[head]), pa.array(np.diff(np.append(head, len(owner))))], ["_d", "_k", "s", "n"])
 
 
 def _firsts(batches, length: int):
-    """Rows (h, seg, _d, _k, _s) in order of h -> runs of windows that are the first of their content (_d, _k, start, n)."""
-
-    def work(h, seg, d, k, s):
-        data, off = buffers(pa.array(seg, pa.binary()))
-        size = np.diff(off)
-        n = size - length + 1
-        _, group, count = np.unique(h, return_inverse=True, return_counts=True)
-        alone = count[group] == 1
-        first = np.ones(int(n.sum()), bool)
-        many = np.flatnonzero(~alone)
-        if len(many):
-            # a segment's windows meet only those of the same anchor, which all are here
-            at = np.concatenate([np.arange(off[x], off[x + 1]) for x in many])
-            klass, w = transform(data[at], np.concatenate(([0], np.cumsum(size[many]))), length)
-            nm = n[many]
-            owner = np.repeat(many, nm)
-            inner = np.arange(nm.sum()) - np.repeat(np.cumsum(nm) - nm, nm)
-            o = np.lexsort((s[owner[w]] + inner[w], k[owner[w]], d[owner[w]], klass))
-            again = np.concatenate(([False], klass[o][1:] == klass[o][:-1]))
-            begin = np.cumsum(n) - n
-            first[(begin[owner] + inner)[w[o[again]]]] = False
-        owner = np.repeat(np.arange(len(n)), n)
-        start = s[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner, start = owner[first], start[first]
-        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
-        return pa.RecordBatch.from_arrays([pa.array(d[owner[head]]), pa.array(k[owner[head]]), pa.array(start[head]), pa.array(np.diff(np.append(head, len(owner))))], ["_d", "_k", "s", "n"])
+    """Rows (h, seg, _d, _k, p) in order of h -> runs of the windows that are the first of their content."""
 
-    held: list = []
+    def work(table: pa.Table):
+        d, k, p = (table.column(c).to_numpy() for c in ("_d", "_k", "p"))
+        s, lead, n = _unpack(p)
+        data, off = buffers(table.column("seg"))
+        klass, w = transform(data[off[0] : off[-1]], off - off[0], lead, length)
+        owner = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        o = np.lexsort((s[owner[w]] + inner[w], k[owner[w]], d[owner[w]], klass))
+        first = np.ones(len(owner), bool)
+        first[w[o[1:][klass[o][1:] == klass[o][:-1]]]] = False
+        return _runs(first, d, k, s, n)
+
+    held: list[pa.Table] = []
+    rows = 0
     for b in batches:
-        h, d, k, s = (b.column(c).to_numpy() for c in (0, 2, 3, 4))
-        seg = b.column(1).to_pylist()
-        for i in range(len(h)):
-            if len(held) >= TOGETHER and h[i] != held[-1][0]:
-                yield work(*_columns(held))
-                held = []
-            held.append((h[i], seg[i], d[i], k[i], s[i]))
+        while b.num_rows:
+            h = b.column(0).to_numpy()
+            if rows >= TOGETHER:  # up to the end of the anchor that is open
+                more = int(np.searchsorted(h, last, "right"))  # noqa: F821
+                if more < len(h):
+                    held.append(pa.Table.from_batches([b.slice(0, more)]))
+                    yield work(pa.concat_tables(held).combine_chunks())
+                    held, rows, b = [], 0, b.slice(more)
+                    continue
+                held.append(pa.Table.from_batches([b]))
+                break
+            take = min(b.num_rows, TOGETHER - rows)
+            held.append(pa.Table.from_batches([b.slice(0, take)]))
+            rows, last, b = rows + take, h[take - 1], b.slice(take)
     if held:
-        yield work(*_columns(held))
+        yield work(pa.concat_tables(held).combine_chunks())
 
 
-def _columns(held: list) -> tuple:
-    h, seg, d, k, s = zip(*held, strict=True)
-    return np.array(h, np.int64), seg, np.array(d, np.int64), np.array(k, np.int64), np.array(s, np.int64)
+def _texts(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+    unzip = zstandard.ZstdDecompressor()
+    texts = [unzip.decompress(x.as_buffer()) for x in b.column(at)]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+
+
+def _listed(b: pa.RecordBatch, at: int, off: np.ndarray):
+    """Owner, packed value and absolute start of the listed segments of a batch."""
+    owner = np.repeat(np.arange(b.num_rows), b.column(at).value_lengths().fill_null(0).to_numpy())
+    p = b.column(at).flatten().to_numpy()
+    return owner, p, off[owner] + (p >> 16)
+
+
+def _content(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each piece of the bytes."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    lo, hi = int(start.min()), int((start + size).max())
+    up, down = np.full(hi - lo, U64(_R)), np.full(hi - lo, U64(pow(_R, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    total = np.concatenate((np.zeros(1, U64), np.add.accumulate((mix(data[lo:hi].astype(U64), 4)) * up)))
+    return mix((total[start + size - lo] - total[start - lo]) * down[start - lo] + size.astype(U64), 5).view(np.int64)
+
+
+def _anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The anchor hashes at given places, as segments() has them."""
+    h = np.zeros(len(at), U64)
+    for j in range(GRAM):
+        h = h * U64(_P) + data[at + j].astype(U64) + U64(1)
+    return (mix(mix(h, 1), 2) >> _SHORT).view(np.int64)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """_d, _k, doc_id, _t (the text's bytes), cand and first: the windows of repeated anchors, and those that come first, as (start, count)."""
-    rows = docs.select(F.col("text").cast("binary").alias("_t"), *row_key())
+    """doc_id, _z (the text's bytes, zipped), cand and first: the windows of repeated anchors, packed, and those that
+    come first, as (start, count)."""
+    key = row_key()
+    key[1] = F.col("_h").bitwiseAND((1 << 24) - 1).alias("_k")  # tells texts of one doc_id apart
+    keyed = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), row_key()[1].alias("_h"), row_key()[0]).select("doc_id", "_t", "_d", key[1])
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def anchors(batches):
+    def hashes(batches):
         for b in batches:
             data, off = buffers(b.column(0))
             for i, j in slices(off, 1 << 20):
-                h = segments(data, off[i : j + 1], length)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(segments(data, off[i : j + 1], length)[0])], ["h"])
 
     def places(batches):
         for b in batches:
             data, off = buffers(b.column(0))
             for i, j in slices(off, 1 << 20):
-                h, doc, s, n = segments(data, off[i : j + 1], length)
+                h, doc, p = segments(data, off[i : j + 1], length)
                 at = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1).take(at), b.column(2).take(at), pa.array((s << 8) | n)], ["h", "_d", "_k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1).take(at), b.column(2).take(at), pa.array(p)], ["h", "_d", "_k", "p"])
 
-    again = rows.select("_t").mapInArrow(anchors, "h long").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h", (F.col("m") >= HOT).alias("hot"))
-    cand = rows.mapInArrow(places, "h long, _d long, _k long, p long").join(again, "h")
-    lists = stash(cand.groupBy("_d", "_k").agg(F.sort_array(F.collect_set(F.struct("p", "h", "hot"))).alias("c")))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), *row_key())
-    joined = texts.join(lists, ["_d", "_k"], "left").select("_d", "_k", "doc_id", "_t", "c")
+    def pack(batches):
+        for b in batches:
+            zip_ = zstandard.ZstdCompressor(level=1)
+            z = [zip_.compress(x.as_buffer() if x.is_valid else b"") for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2), b.column(3)], ["doc_id", "_z", "_d", "_k"])
+
+    again = keyed.select("_t").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    cand = keyed.select("_t", "_d", "_k").mapInArrow(places, "h long, _d long, _k long, p long").join(again, "h", "left_semi")
+    lists = cand.groupBy("_d", "_k").agg(F.sort_array(F.collect_set("p")).alias("c"))
+    joined = keyed.select("doc_id", "_t", "_d", "_k").mapInArrow(pack, f"doc_id {kind}, _z binary, _d long, _k long").join(lists, ["_d", "_k"], "left").select("_d", "_k", "doc_id", "_z", "c")
+
+    def contents(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                data, off = _texts(b, 2)
+                owner, p, start = _listed(b, 3, off)
+                _, lead, n = _unpack(p)
+                who = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(_anchors(data, start + lead)), pa.array(_content(data, start, n + length - 1)), b.column(0).take(who), b.column(1).take(who), pa.array(p)], ["h", "c", "_d", "_k", "p"])
+
+    first = F.min(F.struct("_d", "_k", "p")).alias("f")  # p starts with the place
+    distinct = joined.where("c is not null").select("_d", "_k", "_z", "c").mapInArrow(contents, "h long, c long, _d long, _k long, p long").groupBy("h", "c").agg(first).select("h", "f.*")
+    distinct = stash(distinct)
+    kinds = distinct.groupBy("h").agg(F.count("*").alias("v"))
+    single = distinct.join(kinds.where("v = 1"), "h", "left_semi").select("_d", "_k", F.shiftright("p", 16).alias("s"), F.col("p").bitwiseAND(255).alias("n"))
+    several = distinct.join(kinds.where("v > 1"), "h").groupBy("_d", "_k").agg(F.collect_list(F.struct("p", "h", (F.col("v") >= HOT).alias("hot"))).alias("m"))
 
     def cut(batches):
-        for b in batches:
-            data, off = buffers(b.column(2))
-            for i in range(b.num_rows):
-                c = b.column(3)[i].values
-                p = c.field(0).to_numpy()
-                s, n = p >> 8, p & 255
-                text = data[off[i] : off[i + 1]].tobytes()
-                for lo in range(0, len(s), 50_000):
-                    part = slice(lo, lo + 50_000)
-                    seg = [text[x : x + m + length - 1] for x, m in zip(s[part], n[part], strict=True)]
-                    k = len(seg)
-                    yield pa.RecordBatch.from_arrays([c.field(1).slice(lo, k), pa.array(seg, pa.binary()), pa.array(np.full(k, b.column(0)[i].as_py())), pa.array(np.full(k, b.column(1)[i].as_py())), pa.array(s[part]), c.field(2).slice(lo, k)], ["h", "seg", "_d", "_k", "_s", "hot"])
-
-    pieces = joined.where("c is not null").select("_d", "_k", "_t", "c").mapInArrow(cut, "h long, seg binary, _d long, _k long, _s long, hot boolean")
-    distinct = pieces.groupBy("h", "seg", "hot").agg(F.min(F.struct("_d", "_k", "_s")).alias("f")).select("h", "seg", "f._d", "f._k", "f._s", "hot")
-    plain = distinct.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _firsts(batches, length), "_d long, _k long, s long, n long")
-
-    def single(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                b = batch.slice(at, 200)
+                data, off = _texts(b, 2)
+                owner = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+                p, h, hot = (b.column(3).flatten().field(i) for i in range(3))
+                start, n = off[owner] + (p.to_numpy() >> 16), p.to_numpy() & 255
+                size = n + length - 1
+                flat = data[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+                seg = pa.BinaryArray.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                who = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([h, seg, b.column(0).take(who), b.column(1).take(who), p, hot], ["h", "seg", "_d", "_k", "p", "hot"])
+
+    texts = joined.select("_d", "_k", "_z").dropDuplicates(["_d", "_k"])
+    pieces = texts.join(several, ["_d", "_k"]).select("_d", "_k", "_z", "m").mapInArrow(cut, "h long, seg binary, _d long, _k long, p long, hot boolean")
+    plain = pieces.where("not hot").select("h", "seg", "_d", "_k", "p").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _firsts(batches, length), "_d long, _k long, s long, n long")
+
+    def windows(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 b = batch.slice(at, 2000)
-                data, off = buffers(b.column(1))
-                n = np.diff(off) - length + 1
+                data, off = buffers(b.column(0))
+                s, _, n = _unpack(b.column(3).to_numpy())
                 owner = np.repeat(np.arange(len(n)), n)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 place = off[:-1][owner] + inner
-                flat = np.lib.stride_tricks.sliding_window_view(data, length)[place].ravel() if len(place) else np.zeros(0, np.uint8)
-                w = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(place), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+                flat = np.lib.stride_tricks.sliding_window_view(data, length)[place].tobytes() if len(place) else b""
+                w = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), len(place), [None, pa.py_buffer(flat)]).cast(pa.binary())
                 who = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([w, b.column(2).take(who), b.column(3).take(who), pa.array(b.column(4).to_numpy()[owner] + inner)], ["w", "_d", "_k", "_s"])
+                yield pa.RecordBatch.from_arrays([w, b.column(1).take(who), b.column(2).take(who), pa.array(s[owner] + inner)], ["w", "_d", "_k", "_s"])
 
-    hot = distinct.where("hot").mapInArrow(single, "w binary, _d long, _k long, _s long").groupBy("w").agg(F.min(F.struct("_d", "_k", "_s")).alias("f"))
-    firsts = plain.union(hot.select("f._d", "f._k", "f._s", F.lit(1).cast("long"))).groupBy("_d", "_k").agg(F.collect_list(F.struct("s", "n")).alias("first"))
-    return joined.join(firsts, ["_d", "_k"], "left").select("doc_id", "_t", F.col("c.p").alias("cand"), "first")
+    hot = pieces.where("hot").select("seg", "_d", "_k", "p").mapInArrow(windows, "w binary, _d long, _k long, _s long").groupBy("w").agg(F.min(F.struct("_d", "_k", "_s")).alias("f"))
+    firsts = single.union(plain).union(hot.select("f._d", "f._k", "f._s", F.lit(1).cast("long"))).groupBy("_d", "_k").agg(F.collect_list(F.struct("s", "n")).alias("first"))
+    return joined.join(firsts, ["_d", "_k"], "left").select("doc_id", "_z", F.col("c").alias("cand"), "first")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -247,7 +290,7 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
-                data, off = buffers(b.column(1))
+                data, off = _texts(b, 1)
                 out: list = [[], [], [], [], []]
                 for i in range(b.num_rows):
                     text = data[off[i] : off[i + 1]]
@@ -256,8 +299,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     if cand is not None and len(cand):
                         p = cand.to_numpy()
                         edge = np.zeros(len(text) + 1, np.int64)
-                        np.add.at(edge, p >> 8, 1)
-                        np.add.at(edge, (p >> 8) + (p & 255), -1)
+                        np.add.at(edge, p >> 16, 1)
+                        np.add.at(edge, (p >> 16) + (p & 255), -1)
                         open_ = np.cumsum(edge[:-1]) > 0
                         first = b.column(3)[i].values
                         if first is not None and len(first):
