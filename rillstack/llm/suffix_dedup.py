@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstack.llm.text import U64, buffers, mix, row_key, slices, spark_tables, stash
+from rillstack.llm.text import U64, buffers, mix, row_key, slices, spark_tables
 
 LENGTH, GRAM = 100, 16
 #: Contents of one anchor from which it is taken window by window.
@@ -205,13 +205,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def hashes(batches):
         for b in batches:
             data, off = buffers(b.column(0))
-            for i, j in slices(off, 1 << 20):
+            for i, j in slices(off, 1 << 19):
                 yield pa.RecordBatch.from_arrays([pa.array(segments(data, off[i : j + 1], length)[0])], ["h"])
 
     def places(batches):
         for b in batches:
             data, off = buffers(b.column(0))
-            for i, j in slices(off, 1 << 20):
+            for i, j in slices(off, 1 << 19):
                 h, doc, p = segments(data, off[i : j + 1], length)
                 at = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([pa.array(h), b.column(1).take(at), b.column(2).take(at), pa.array(p)], ["h", "_d", "_k", "p"])
@@ -225,32 +225,33 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = keyed.select("_t").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     cand = keyed.select("_t", "_d", "_k").mapInArrow(places, "h long, _d long, _k long, p long").join(again, "h", "left_semi")
     lists = cand.groupBy("_d", "_k").agg(F.sort_array(F.collect_set("p")).alias("c"))
-    joined = keyed.select("doc_id", "_t", "_d", "_k").mapInArrow(pack, f"doc_id {kind}, _z binary, _d long, _k long").join(lists, ["_d", "_k"], "left").select("_d", "_k", "doc_id", "_z", "c")
+    packed = keyed.select("doc_id", "_t", "_d", "_k").mapInArrow(pack, f"doc_id {kind}, _z binary, _d long, _k long")
+    joined = packed.join(lists, ["_d", "_k"], "left").select("_d", "_k", "_z", "doc_id", "c")
 
     def contents(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                b = batch.slice(at, 100)
                 data, off = _texts(b, 2)
-                owner, p, start = _listed(b, 3, off)
+                owner, p, start = _listed(b, 4, off)
                 _, lead, n = _unpack(p)
                 who = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(_anchors(data, start + lead)), pa.array(_content(data, start, n + length - 1)), b.column(0).take(who), b.column(1).take(who), pa.array(p)], ["h", "c", "_d", "_k", "p"])
 
     first = F.min(F.struct("_d", "_k", "p")).alias("f")  # p starts with the place
-    distinct = joined.where("c is not null").select("_d", "_k", "_z", "c").mapInArrow(contents, "h long, c long, _d long, _k long, p long").groupBy("h", "c").agg(first).select("h", "f.*")
-    distinct = stash(distinct)
+    # every use of the zipped texts reads the same columns, so that Spark shuffles them once
+    distinct = joined.where("c is not null").mapInArrow(contents, "h long, c long, _d long, _k long, p long").groupBy("h", "c").agg(first).select("h", "f.*")
     kinds = distinct.groupBy("h").agg(F.count("*").alias("v"))
     single = distinct.join(kinds.where("v = 1"), "h", "left_semi").select("_d", "_k", F.shiftright("p", 16).alias("s"), F.col("p").bitwiseAND(255).alias("n"))
     several = distinct.join(kinds.where("v > 1"), "h").groupBy("_d", "_k").agg(F.collect_list(F.struct("p", "h", (F.col("v") >= HOT).alias("hot"))).alias("m"))
 
     def cut(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                b = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 100):
+                b = batch.slice(at, 100)
                 data, off = _texts(b, 2)
-                owner = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
-                p, h, hot = (b.column(3).flatten().field(i) for i in range(3))
+                owner = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy())
+                p, h, hot = (b.column(4).flatten().field(i) for i in range(3))
                 start, n = off[owner] + (p.to_numpy() >> 16), p.to_numpy() & 255
                 size = n + length - 1
                 flat = data[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
@@ -258,8 +259,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 who = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([h, seg, b.column(0).take(who), b.column(1).take(who), p, hot], ["h", "seg", "_d", "_k", "p", "hot"])
 
-    texts = joined.select("_d", "_k", "_z").dropDuplicates(["_d", "_k"])
-    pieces = texts.join(several, ["_d", "_k"]).select("_d", "_k", "_z", "m").mapInArrow(cut, "h long, seg binary, _d long, _k long, p long, hot boolean")
+    pieces = packed.join(several, ["_d", "_k"]).select("_d", "_k", "_z", "doc_id", "m").mapInArrow(cut, "h long, seg binary, _d long, _k long, p long, hot boolean")
     plain = pieces.where("not hot").select("h", "seg", "_d", "_k", "p").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _firsts(batches, length), "_d long, _k long, s long, n long")
 
     def windows(batches):
@@ -288,8 +288,8 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                b = batch.slice(at, 100)
                 data, off = _texts(b, 1)
                 out: list = [[], [], [], [], []]
                 for i in range(b.num_rows):
