@@ -116,17 +116,17 @@ def transform(text: np.ndarray, cut: np.ndarray, lead: np.ndarray, length: int =
     return np.concatenate(klass), np.concatenate(ident)
 
 
-def _runs(first: np.ndarray, d: np.ndarray, k: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Runs (_d, _k, s, n) of the windows marked in `first`, of segments with n windows from s on."""
+def _runs(marked: np.ndarray, d: np.ndarray, k: np.ndarray, s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Runs (_d, _k, s, n) of the marked windows, of segments with n windows from s on."""
     owner = np.repeat(np.arange(len(n)), n)
     start = s[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    owner, start = owner[first], start[first]
+    owner, start = owner[marked], start[marked]
     head = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))))
     return pa.RecordBatch.from_arrays([pa.array(d[owner[head]]), pa.array(k[owner[head]]), pa.array(start[head]), pa.array(np.diff(np.append(head, len(owner))))], ["_d", "_k", "s", "n"])
 
 
-def _firsts(batches, length: int):
-    """Rows (h, seg, _d, _k, p) in order of h -> runs of the windows that are the first of their content."""
+def _repeated(batches, length: int):
+    """Rows (h, seg, _d, _k, p) in order of h -> runs of the windows whose content also is at a place before."""
 
     def work(table: pa.Table):
         d, k, p = (table.column(c).to_numpy() for c in ("_d", "_k", "p"))
@@ -136,9 +136,9 @@ def _firsts(batches, length: int):
         owner = np.repeat(np.arange(len(n)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         o = np.lexsort((s[owner[w]] + inner[w], k[owner[w]], d[owner[w]], klass))
-        first = np.ones(len(owner), bool)
-        first[w[o[1:][klass[o][1:] == klass[o][:-1]]]] = False
-        return _runs(first, d, k, s, n)
+        again = np.zeros(len(owner), bool)
+        again[w[o[1:][klass[o][1:] == klass[o][:-1]]]] = True
+        return _runs(again, d, k, s, n)
 
     held: list[pa.Table] = []
     rows = 0
@@ -195,8 +195,9 @@ def _anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, _z (the text's bytes, zipped), cand and first: the windows of repeated anchors, packed, and those that
-    come first, as (start, count)."""
+    """doc_id, _z (the text's bytes, zipped), cand: the windows of repeated anchors, packed, and own, runs (kind, s, n) to be
+    taken in order of kind: 0: of segments that are the first of their content, and so not repeats; 1: that are
+    repeats all the same; 2: windows of these that are not."""
     key = row_key()
     key[1] = F.col("_h").bitwiseAND((1 << 24) - 1).alias("_k")  # tells texts of one doc_id apart
     keyed = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), row_key()[1].alias("_h"), row_key()[0]).select("doc_id", "_t", "_d", key[1])
@@ -241,9 +242,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = F.min(F.struct("_d", "_k", "p")).alias("f")  # p starts with the place
     # every use of the zipped texts reads the same columns, so that Spark shuffles them once
     distinct = joined.where("c is not null").mapInArrow(contents, "h long, c long, _d long, _k long, p long").groupBy("h", "c").agg(first).select("h", "f.*")
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("v"))
-    single = distinct.join(kinds.where("v = 1"), "h", "left_semi").select("_d", "_k", F.shiftright("p", 16).alias("s"), F.col("p").bitwiseAND(255).alias("n"))
-    several = distinct.join(kinds.where("v > 1"), "h").groupBy("_d", "_k").agg(F.collect_list(F.struct("p", "h", (F.col("v") >= HOT).alias("hot"))).alias("m"))
+    kinds = distinct.groupBy("h").agg(F.count("*").alias("v")).where("v > 1")
+    several = distinct.join(kinds, "h").groupBy("_d", "_k").agg(F.collect_list(F.struct("p", "h", (F.col("v") >= HOT).alias("hot"))).alias("m"))
 
     def cut(batches):
         for batch in batches:
@@ -260,7 +260,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([h, seg, b.column(0).take(who), b.column(1).take(who), p, hot], ["h", "seg", "_d", "_k", "p", "hot"])
 
     pieces = packed.join(several, ["_d", "_k"]).select("_d", "_k", "_z", "doc_id", "m").mapInArrow(cut, "h long, seg binary, _d long, _k long, p long, hot boolean")
-    plain = pieces.where("not hot").select("h", "seg", "_d", "_k", "p").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _firsts(batches, length), "_d long, _k long, s long, n long")
+    plain = pieces.where("not hot").select("h", "seg", "_d", "_k", "p").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _repeated(batches, length), "_d long, _k long, s long, n long")
 
     def windows(batches):
         for batch in batches:
@@ -277,8 +277,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([w, b.column(1).take(who), b.column(2).take(who), pa.array(s[owner] + inner)], ["w", "_d", "_k", "_s"])
 
     hot = pieces.where("hot").select("seg", "_d", "_k", "p").mapInArrow(windows, "w binary, _d long, _k long, _s long").groupBy("w").agg(F.min(F.struct("_d", "_k", "_s")).alias("f"))
-    firsts = single.union(plain).union(hot.select("f._d", "f._k", "f._s", F.lit(1).cast("long"))).groupBy("_d", "_k").agg(F.collect_list(F.struct("s", "n")).alias("first"))
-    return joined.join(firsts, ["_d", "_k"], "left").select("doc_id", "_z", F.col("c").alias("cand"), "first")
+    part = lambda rows, kind, start, n: rows.select("_d", "_k", F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("s"), n.cast("long").alias("n")).alias("w"))
+    start, n = F.shiftright("p", 16), F.col("p").bitwiseAND(255)
+    own = part(distinct, 0, start, n).union(part(plain, 1, F.col("s"), F.col("n"))).union(part(pieces.where("hot"), 1, start, n)).union(part(hot.select("f.*"), 2, F.col("_s"), F.lit(1)))
+    own = own.groupBy("_d", "_k").agg(F.collect_list("w").alias("own"))
+    return joined.join(own, ["_d", "_k"], "left").select("doc_id", "_z", F.col("c").alias("cand"), "own")
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -302,13 +305,15 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         np.add.at(edge, p >> 16, 1)
                         np.add.at(edge, (p >> 16) + (p & 255), -1)
                         open_ = np.cumsum(edge[:-1]) > 0
-                        first = b.column(3)[i].values
-                        if first is not None and len(first):
-                            s, n = first.field(0).to_numpy(), first.field(1).to_numpy()
-                            edge = np.zeros(len(text) + 1, np.int64)
-                            np.add.at(edge, s, 1)
-                            np.add.at(edge, s + n, -1)
-                            open_ &= np.cumsum(edge[:-1]) == 0
+                        own = b.column(3)[i].values
+                        if own is not None and len(own):
+                            kind, start, n = (own.field(x).to_numpy() for x in range(3))
+                            for x in range(3):
+                                edge = np.zeros(len(text) + 1, np.int64)
+                                np.add.at(edge, start[kind == x], 1)
+                                np.add.at(edge, (start + n)[kind == x], -1)
+                                marked = np.cumsum(edge[:-1]) > 0
+                                open_ = open_ | marked if x == 1 else open_ & ~marked
                         w = np.flatnonzero(open_)
                         edge = np.zeros(len(text) + 1, np.int64)
                         edge[w] += 1
