@@ -142,7 +142,7 @@ def pieces(sized: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFram
     chunks = one.groupBy("_s", "_chunk").agg(F.sum("size").alias("_sum"))
     start = F.sum("_sum").over(Window.partitionBy("_s").orderBy("_chunk")) - F.col("_sum")
     within = F.sum("size").over(Window.partitionBy("_s", "_chunk").orderBy("_d", "_k")) - F.col("size")
-    at = one.join(chunks.select("_s", "_chunk", start.alias("_start")), ["_s", "_chunk"]).withColumn("_from", F.col("_start") + within).withColumn("_to", F.col("_from") + F.col("size"))
+    at = one.join(chunks.select("_s", "_chunk", start.alias("_start")).hint("merge"), ["_s", "_chunk"]).withColumn("_from", F.col("_start") + within).withColumn("_to", F.col("_from") + F.col("size"))
     parts = at.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block))))
     lo, hi = F.greatest("_from", F.col("_b") * block), F.least("_to", (F.col("_b") + 1) * block)
     return parts.select("_s", "_b", "_d", "_k", (lo - F.col("_from")).alias("first_word"), (hi - lo).alias("n_words"))
@@ -156,7 +156,7 @@ def mix_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: in
         raise ValueError(f"over {MAX_SOURCES} sources: their table is sent to all tasks")
     table = sorted((r["_s"], r["_n"], r["_q"]) for r in sources.select("_s", "_n", "_q").toLocalIterator())
     drawn = slots(docs.sparkSession, table, shard, seed)
-    return drawn.join(pieces(sized, sources, block), ["_s", "_b"]), sized, sources
+    return drawn.join(pieces(sized, sources, block).hint("merge"), ["_s", "_b"]), sized, sources
 
 
 def taken(docs: DataFrame) -> DataFrame:
