@@ -226,7 +226,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = keyed.select("_t").mapInArrow(hashes, "h long").groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
     cand = keyed.select("_t", "_d", "_k").mapInArrow(places, "h long, _d long, _k long, p long").join(again, "h", "left_semi")
     lists = cand.groupBy("_d", "_k").agg(F.sort_array(F.collect_set("p")).alias("c"))
-    packed = keyed.select("doc_id", "_t", "_d", "_k").mapInArrow(pack, f"doc_id {kind}, _z binary, _d long, _k long")
+    # keys that can't be null keep the joins from filtering their inputs, so equal shuffles stay equal and run once
+    sure = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    packed = keyed.select("doc_id", "_t", "_d", "_k").mapInArrow(pack, f"doc_id {kind}, _z binary, _d long, _k long").select("doc_id", "_z", sure("_d"), sure("_k"))
     joined = packed.join(lists, ["_d", "_k"], "left").select("_d", "_k", "_z", "doc_id", "c")
 
     def contents(batches):
@@ -241,9 +243,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     first = F.min(F.struct("_d", "_k", "p")).alias("f")  # p starts with the place
     # every use of the zipped texts reads the same columns, so that Spark shuffles them once
-    distinct = joined.where("c is not null").mapInArrow(contents, "h long, c long, _d long, _k long, p long").groupBy("h", "c").agg(first).select("h", "f.*")
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("v")).where("v > 1")
-    several = distinct.join(kinds, "h").groupBy("_d", "_k").agg(F.collect_list(F.struct("p", "h", (F.col("v") >= HOT).alias("hot"))).alias("m"))
+    distinct = joined.where("c is not null").mapInArrow(contents, "h long, c long, _d long, _k long, p long").select(sure("h"), sure("c"), "_d", "_k", "p").groupBy("h", "c").agg(first).select("h", "f.*")
+    kinds = distinct.groupBy("h").agg(F.count("*").alias("v"), F.max(F.xxhash64("_d", "_k", "p")).alias("same")).where("same is not null").select("h", "v")
+    few, many = distinct.join(kinds.where(f"v > 1 and v < {HOT}"), "h"), distinct.join(kinds.where(f"v >= {HOT}"), "h")
+    listed = lambda rows: rows.groupBy("_d", "_k").agg(F.collect_list(F.struct("p", "h")).alias("m"))
 
     def cut(batches):
         for batch in batches:
@@ -251,16 +254,16 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 b = batch.slice(at, 100)
                 data, off = _texts(b, 2)
                 owner = np.repeat(np.arange(b.num_rows), b.column(4).value_lengths().to_numpy())
-                p, h, hot = (b.column(4).flatten().field(i) for i in range(3))
+                p, h = (b.column(4).flatten().field(i) for i in range(2))
                 start, n = off[owner] + (p.to_numpy() >> 16), p.to_numpy() & 255
                 size = n + length - 1
                 flat = data[np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
                 seg = pa.BinaryArray.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
                 who = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([h, seg, b.column(0).take(who), b.column(1).take(who), p, hot], ["h", "seg", "_d", "_k", "p", "hot"])
+                yield pa.RecordBatch.from_arrays([h, seg, b.column(0).take(who), b.column(1).take(who), p], ["h", "seg", "_d", "_k", "p"])
 
-    pieces = packed.join(several, ["_d", "_k"]).select("_d", "_k", "_z", "doc_id", "m").mapInArrow(cut, "h long, seg binary, _d long, _k long, p long, hot boolean")
-    plain = pieces.where("not hot").select("h", "seg", "_d", "_k", "p").repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _repeated(batches, length), "_d long, _k long, s long, n long")
+    pieces = lambda rows: packed.join(listed(rows), ["_d", "_k"]).select("_d", "_k", "_z", "doc_id", "m").mapInArrow(cut, "h long, seg binary, _d long, _k long, p long")
+    plain = pieces(few).repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: _repeated(batches, length), "_d long, _k long, s long, n long")
 
     def windows(batches):
         for batch in batches:
@@ -276,10 +279,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 who = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([w, b.column(1).take(who), b.column(2).take(who), pa.array(s[owner] + inner)], ["w", "_d", "_k", "_s"])
 
-    hot = pieces.where("hot").select("seg", "_d", "_k", "p").mapInArrow(windows, "w binary, _d long, _k long, _s long").groupBy("w").agg(F.min(F.struct("_d", "_k", "_s")).alias("f"))
+    hot = pieces(many).select("seg", "_d", "_k", "p").mapInArrow(windows, "w binary, _d long, _k long, _s long").groupBy("w").agg(F.min(F.struct("_d", "_k", "_s")).alias("f"))
     part = lambda rows, kind, start, n: rows.select("_d", "_k", F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("s"), n.cast("long").alias("n")).alias("w"))
     start, n = F.shiftright("p", 16), F.col("p").bitwiseAND(255)
-    own = part(distinct, 0, start, n).union(part(plain, 1, F.col("s"), F.col("n"))).union(part(pieces.where("hot"), 1, start, n)).union(part(hot.select("f.*"), 2, F.col("_s"), F.lit(1)))
+    own = part(distinct, 0, start, n).union(part(plain, 1, F.col("s"), F.col("n"))).union(part(many, 1, start, n)).union(part(hot.select("f.*"), 2, F.col("_s"), F.lit(1)))
     own = own.groupBy("_d", "_k").agg(F.collect_list("w").alias("own"))
     return joined.join(own, ["_d", "_k"], "left").select("doc_id", "_z", F.col("c").alias("cand"), "own")
 
