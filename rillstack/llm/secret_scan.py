@@ -27,31 +27,30 @@ from rillstack.llm.text import spark_tables
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, the group whose length is tested (0: the whole match), the least length, and a version."""
+    """A pattern, the group whose length is tested (0: the whole match), the least length, and a version.
+
+    Where a pattern ends in a run that decides alone whether a match is long enough, `tight` asks for that run at once: it
+    has the same matches as those of `pattern` that are kept, without all the short ones in between."""
 
     kind: str
     pattern: str
     group: int
     least: int
     version: int = 1
+    tight: str | None = None
 
 
 #: Fixed values.
 RULES = [
     Rule("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, tight=r"AKIA[A-Z0-9]{14,}"),
+    Rule("hex", r"[0-9a-f]+", 0, 16, tight=r"[0-9a-f]{16,}"),
 ]
 
 
-def _quick(rule: Rule) -> str:
-    """A pattern that any text with a finding of the rule matches."""
-    return rule.pattern[:-1] + "{%d,}" % rule.least if rule.kind == "hex" else rule.pattern
-
-
 def _matches(rule: Rule):
     """Of the blob's text: (kind, version, whole: code points since the last match's end, gap before it, ok)."""
-    both = "(?s)(.*?)(" + rule.pattern + ")"
+    both = "(?s)(.*?)(" + (rule.tight or rule.pattern) + ")"
     whole, gaps = F.regexp_extract_all("text", F.lit(both), F.lit(0)), F.regexp_extract_all("text", F.lit(both), F.lit(1))
 
     def one(x, gap):
@@ -78,7 +77,7 @@ def scan(unique: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] =
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("_seen"))
         open_ = unique.join(seen, "blob", "left").withColumn("_open", F.array_except(names, F.coalesce("_seen", F.array().cast("array<string>"))))
-    found = [F.when(F.array_contains("_open", f"{r.kind}:{r.version}") & F.col("text").rlike(_quick(r)), _matches(r)) for r in rules]
+    found = [F.when(F.array_contains("_open", f"{r.kind}:{r.version}") & F.col("text").rlike(r.tight or r.pattern), _matches(r)) for r in rules]
     kind = "array<struct<kind:string,version:int,whole:int,gap:int,ok:boolean>>"
     raw = open_.select("blob", F.explode(F.array(*(F.coalesce(x, F.array().cast(kind)) for x in found))).alias("m")).select("blob", F.posexplode("m").alias("i", "m")).select("blob", "i", "m.*")
     end = F.sum("whole").over(Window.partitionBy("blob", "kind", "version").orderBy("i"))
