@@ -36,7 +36,7 @@ from rillstack.llm.text import U64, buffers, mix, row_key, slices, spark_tables
 
 LENGTH, GRAM = 100, 16
 #: Contents of one anchor from which it is taken window by window.
-HOT = 2000
+HOT = 20_000
 #: Segments that a task's transform takes at once, about.
 TOGETHER = 20_000
 _P = 0x9E3779B97F4A7C15
