@@ -4,8 +4,9 @@ Every version of every path is content-addressed by the SHA-256 of its text. Eac
 version of each rule that the ledger does not have for it yet; findings are kept by blob and joined back to all paths
 that ever held it. A rule finds leftmost non-overlapping matches and drops those whose tested part is too short.
 
-Offsets: each rule's pattern is matched with the text before it, `(.*?)(rule)`, so consecutive matches cover the
-text without gaps and the running sum of their lengths gives the code point at which each ends.
+Offsets: each rule's pattern is matched with the text before it, `\\G(.*?)(rule)`, so consecutive matches cover the
+text without gaps and the running sum of their lengths gives the code point at which each ends. `\\G` ties each to
+the one before, so a text is gone through once.
 
 Blobs are grouped by hash with one text kept per group in the partial aggregation already, so a text that a third of
 all rows hold is shuffled once per task. Findings meet paths by hash.
@@ -50,7 +51,7 @@ RULES = [
 
 def _matches(rule: Rule):
     """Of the blob's text: (kind, version, whole: code points since the last match's end, gap before it, ok)."""
-    both = "(?s)(.*?)(" + (rule.tight or rule.pattern) + ")"
+    both = r"(?s)\G(.*?)(" + (rule.tight or rule.pattern) + ")"
     whole, gaps = F.regexp_extract_all("text", F.lit(both), F.lit(0)), F.regexp_extract_all("text", F.lit(both), F.lit(1))
 
     def one(x, gap):
