@@ -133,7 +133,8 @@ def scan(tests: Tests, data: np.ndarray, off: np.ndarray) -> list[tuple[int, lis
     item, place, size = tests.item[s], tests.place[s], np.repeat(tests.size[which], times)
     doc = w.doc[p]
     for d, i in np.unique(np.stack([doc, item], 1), axis=0):
-        out[d][2].append(tests.ids[i])
+        if tests.ids[i] not in out[d][2][-1:]:  # items in order, so repeated ids stand together
+            out[d][2].append(tests.ids[i])
     o = np.lexsort((p, p - place, item))
     fresh = np.concatenate(([True], (item[o][1:] != item[o][:-1]) | ((p - place)[o][1:] != (p - place)[o][:-1]) | (p[o][1:] != p[o][:-1] + 1) | (doc[o][1:] != doc[o][:-1])))
     head = np.flatnonzero(fresh)
@@ -161,7 +162,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS):
     parts = max(1, -(-words // most))
     for k in range(parts):
         got = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
-        yield Tests([(i, np.array(h, np.int64).view(U64)) for i, h in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)], window)
+        yield Tests(sorted([(i, np.array(h, np.int64).view(U64)) for i, h in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)], key=lambda x: x[0]), window)
 
 
 def _results(tests: Tests, texts: pa.Array) -> list:
