@@ -33,3 +33,65 @@ QUERIES = {"events_1d": events_1d}
 ORACLES = {
     "events_1d": f"WITH {EVENTS_SQL} SELECT sig, label, min(t) AS start, max(t) AS stop, round(max(r), 6) AS peak, arg_min(t, (-r, t)) - min(t) AS time_to_peak, round(avg(r), 6) AS vmean FROM ev GROUP BY sig, label",
 }
+
+
+def _add(name: str, sql: str, build, digits: int = 6) -> None:
+    """build: (signals, their window) -> DataFrame; doubles are rounded on both sides."""
+
+    def query(spark, sf_dir):
+        df = build(signals(spark, sf_dir), Window.partitionBy("sig").orderBy("t"))
+        return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+    QUERIES[name], ORACLES[name] = query, f"WITH {SIGNALS_SQL} {sql}"
+
+
+def _reflected(s: DataFrame, n: int, length: int) -> DataFrame:
+    """The signals with n samples more on each side, mirrored with the edge sample repeated."""
+    head = s.where(F.col("t") < n).withColumn("t", -1 - F.col("t"))
+    tail = s.where(F.col("t") >= length - n).withColumn("t", 2 * length - 1 - F.col("t"))
+    return s.union(head).union(tail)
+
+
+def rank_filter(s: DataFrame, w, size: int, rank: int, length: int = 720) -> DataFrame:
+    """sig, t, v: the sample of the given rank (from 0) in the window of `size` from t - size // 2 on."""
+    half = size // 2
+    padded = _reflected(s, size, length).withColumn("v", F.element_at(F.array_sort(F.collect_list("v").over(w.rowsBetween(-half, size - 1 - half))), rank + 1))
+    return padded.where((F.col("t") >= 0) & (F.col("t") < length))
+
+
+_PAD = "pd AS (SELECT sig, t, v FROM sig UNION ALL SELECT sig, -1 - t, v FROM sig WHERE t < 9 UNION ALL SELECT sig, 1439 - t, v FROM sig WHERE t >= 711)"
+_RANK = ", {pad}, f AS (SELECT sig, t, list_sort(list(v) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))[{k}] AS v FROM pd) SELECT sig, t, round(v, 6) AS v FROM f WHERE t BETWEEN 0 AND 719"
+_add("median_filter_t", _RANK.format(pad=_PAD, k=5), lambda s, w: rank_filter(s, w, 9, 4))
+_add("percentile_filter_t", _RANK.format(pad=_PAD, k=3), lambda s, w: rank_filter(s, w, 9, 2))
+_add("running_min", "SELECT sig, t, round(min(v) OVER (PARTITION BY sig ORDER BY t), 6) AS v FROM sig", lambda s, w: s.select("sig", "t", F.min("v").over(w).alias("v")))
+_add(
+    "tight_envelope",
+    "SELECT sig, t, round(greatest(min(v) OVER a, min(v) OVER b), 6) AS lower, round(least(max(v) OVER a, max(v) OVER b), 6) AS upper FROM sig WINDOW a AS (PARTITION BY sig ORDER BY t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY sig ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    lambda s, w: s.select("sig", "t", *(f(g("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), g("v").over(w.rowsBetween(0, Window.unboundedFollowing))).alias(n) for f, g, n in ((F.greatest, F.min, "lower"), (F.least, F.max, "upper")))),
+)
+_add(
+    "local_minima",
+    ", d AS (SELECT sig, t, v, sign(v - lag(v) OVER w) AS a, sign(lead(v) OVER w - v) AS b FROM sig WINDOW w AS (PARTITION BY sig ORDER BY t)) SELECT sig, t, round(v, 6) AS v FROM d WHERE b > a",
+    lambda s, w: s.withColumn("a", F.signum(F.col("v") - F.lag("v").over(w))).withColumn("b", F.signum(F.lead("v").over(w) - F.col("v"))).where("b > a").select("sig", "t", "v"),
+)
+
+
+def up_crossings(s: DataFrame, w, th: float = 100.0, nup: int = 2) -> DataFrame:
+    """sig, t: starts of runs over th of nup samples or more."""
+    on = F.col("v") > th
+    runs = s.withColumn("g", F.sum(F.when(on & ~F.coalesce(F.lag(on).over(w), F.lit(False)), 1).otherwise(0)).over(w)).where(on)
+    return runs.groupBy("sig", "g").agg(F.min("t").alias("t"), F.count("*").alias("n")).where(F.col("n") >= nup).select("sig", "t")
+
+
+_add("up_crossings", ", d AS (SELECT *, CASE WHEN v > 100 AND NOT coalesce(lag(v) OVER (PARTITION BY sig ORDER BY t) > 100, false) THEN 1 ELSE 0 END AS up FROM sig), g AS (SELECT *, sum(up) OVER (PARTITION BY sig ORDER BY t) AS g FROM d) SELECT sig, min(t) AS t FROM g WHERE v > 100 GROUP BY sig, g HAVING count(*) >= 2", up_crossings)
+_add(
+    "rolling_mad",
+    ", m AS (SELECT sig, t, v, abs(v - quantile_cont(v, 0.5) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING)) AS d FROM sig) SELECT sig, t, round(1.4826 * quantile_cont(d, 0.5) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), 9) AS sd FROM m",
+    lambda s, w: s.withColumn("d", F.abs(F.col("v") - F.expr("percentile(v, 0.5)").over(w.rowsBetween(-12, 11)))).select("sig", "t", (1.4826 * F.expr("percentile(d, 0.5)").over(w.rowsBetween(-12, 11))).alias("sd")),
+    9,  # 1.4826 times a half cent has 7 digits
+)
+_add(
+    "haar_step",
+    "SELECT sig, CAST(t // 2 AS BIGINT) AS t, round((sum(CASE WHEN t % 2 = 0 THEN v ELSE -v END)) / 2, 6) AS d, round(sum(v) / 2, 6) AS s FROM sig GROUP BY sig, t // 2",
+    lambda s, w: s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg((F.sum(F.when(F.col("t") % 2 == 0, F.col("v")).otherwise(-F.col("v"))) / 2).alias("d"), (F.sum("v") / 2).alias("s")),
+)
