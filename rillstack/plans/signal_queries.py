@@ -95,3 +95,115 @@ _add(
     "SELECT sig, CAST(t // 2 AS BIGINT) AS t, round((sum(CASE WHEN t % 2 = 0 THEN v ELSE -v END)) / 2, 6) AS d, round(sum(v) / 2, 6) AS s FROM sig GROUP BY sig, t // 2",
     lambda s, w: s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg((F.sum(F.when(F.col("t") % 2 == 0, F.col("v")).otherwise(-F.col("v"))) / 2).alias("d"), (F.sum("v") / 2).alias("s")),
 )
+
+
+def windowed_running_min(s: DataFrame, length: int = 720, size: int = 50) -> DataFrame:
+    """sig, t, v: least over the half-overlapping tiles of the greater of the running minima from both ends of a tile."""
+    grid = F.array(*(F.lit(o).cast("long") for o in [*range(0, length - size, size - size // 2), length - size]))
+    tiled = s.withColumn("o", F.explode(F.filter(grid, lambda o: (o <= F.col("t")) & (F.col("t") < o + size))))
+    w = Window.partitionBy("sig", "o").orderBy("t")
+    ends = (F.min("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min("v").over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return tiled.withColumn("v", F.greatest(*ends)).groupBy("sig", "t").agg(F.min("v").alias("v"))
+
+
+_add(
+    "windowed_runmin",
+    ", o AS (SELECT unnest(list_append(range(0, 670, 25), 670)) AS o), tl AS (SELECT sig.*, o FROM sig JOIN o ON t >= o AND t < o + 50), e AS (SELECT sig, t, greatest(min(v) OVER (PARTITION BY sig, o ORDER BY t), min(v) OVER (PARTITION BY sig, o ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM tl) SELECT sig, t, round(min(v), 6) AS v FROM e GROUP BY sig, t",
+    lambda s, w: windowed_running_min(s),
+)
+
+
+def lower_envelope(s: DataFrame, w) -> DataFrame:
+    """sig, t, v: straight lines through the ends, the local minima and the shoulders (maxima of the second difference)."""
+    a, b, c = F.lag("v").over(w), F.col("v"), F.lead("v").over(w)
+    d = s.withColumn("v", F.round("v", 2)).withColumn("low", F.signum(c - b) > F.signum(b - a)).withColumn("d", c - 2 * b + a)
+    d = d.withColumn("high", F.signum(F.lead("d").over(w) - F.col("d")) < F.signum(F.col("d") - F.lag("d").over(w)))
+    end = F.lag("t").over(w).isNull() | F.lead("t").over(w).isNull()
+    knot = F.when(end | F.coalesce("low", F.lit(False)) | F.coalesce("high", F.lit(False)), F.struct("t", "v"))
+    k = d.withColumn("k", knot)
+    k = k.withColumn("p", F.last("k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.first("k", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    line = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("t") - F.col("p.t")) / (F.col("q.t") - F.col("p.t"))
+    return k.select("sig", "t", F.when(F.col("p.t") == F.col("q.t"), F.col("p.v")).otherwise(line).alias("v"))
+
+
+_add(
+    "lower_envelope",
+    """, r AS (SELECT sig, t, round(v, 2) AS v FROM sig), d AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS c, lead(v) OVER w - 2 * v + lag(v) OVER w AS d FROM r WINDOW w AS (PARTITION BY sig ORDER BY t)),
+ k AS (SELECT sig, t, v, a IS NULL OR c IS NULL OR coalesce(sign(c - v) > sign(v - a), false) OR coalesce(sign(lead(d) OVER w - d) < sign(d - lag(d) OVER w), false) AS knot FROM d WINDOW w AS (PARTITION BY sig ORDER BY t)),
+ i AS (SELECT sig, t, max(t) FILTER (knot) OVER (PARTITION BY sig ORDER BY t) AS t0, min(t) FILTER (knot) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM k)
+ SELECT i.sig, i.t, round(CASE WHEN t0 = t1 THEN p.v ELSE p.v + (q.v - p.v) * (i.t - t0) / (t1 - t0) END, 6) AS v FROM i JOIN r p ON p.sig = i.sig AND p.t = t0 JOIN r q ON q.sig = i.sig AND q.t = t1""",
+    lower_envelope,
+)
+
+
+def adaptive_filter(s: DataFrame, w, th: float = 5.0, size: int = 5) -> DataFrame:
+    """sig, t, v: samples further than th robust deviations from their median-filtered value are replaced by it."""
+    own = Window.partitionBy("sig")
+    m = rank_filter(s, w, size, size // 2).withColumnRenamed("v", "m")
+    d = s.join(m, ["sig", "t"]).withColumn("c", F.abs(F.col("v") - F.expr("percentile(v, 0.5)").over(own))).withColumn("sd", 1.4826 * F.expr("percentile(c, 0.5)").over(own))
+    return d.select("sig", "t", F.when(F.abs(F.col("v") - F.col("m")) > th * F.col("sd"), F.col("m")).otherwise(F.col("v")).alias("v"))
+
+
+_add(
+    "adaptive_filter_1d",
+    ", pd AS (SELECT sig, t, v FROM sig UNION ALL SELECT sig, -1 - t, v FROM sig WHERE t < 5 UNION ALL SELECT sig, 1439 - t, v FROM sig WHERE t >= 715), f AS (SELECT sig, t, list_sort(list(v) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))[3] AS m FROM pd), c AS (SELECT sig, quantile_cont(v, 0.5) AS c FROM sig GROUP BY sig), sd AS (SELECT sig, 1.4826 * quantile_cont(abs(v - c), 0.5) AS sd FROM sig JOIN c USING (sig) GROUP BY sig) SELECT sig, t, round(CASE WHEN abs(v - m) > 5 * sd THEN m ELSE v END, 6) AS v FROM sig JOIN f USING (sig, t) JOIN sd USING (sig)",
+    adaptive_filter,
+)
+
+
+def percentile_baseline(s: DataFrame, w, size: int = 25, rank: int = 6, th: float = 3.0, length: int = 720) -> DataFrame:
+    """sig, t, v: running rank (6 of 25: the lower quartile) between median-padded ends, shifted by the median of the
+    residuals within th robust deviations (plain ones if those are 0) where there are more than 10."""
+    half, own = size // 2, Window.partitionBy("sig")
+    pad = lambda cond, first: s.where(cond).groupBy("sig").agg(F.expr("percentile(v, 0.5)").alias("v")).select("sig", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + half - 1).cast("long"))).alias("t"), "v")
+    padded = s.union(pad(F.col("t") < 10, -half)).union(pad(F.col("t") >= length - 10, length))
+    b = padded.withColumn("b", F.element_at(F.array_sort(F.collect_list("v").over(w.rowsBetween(-half, half))), rank + 1)).where(F.col("t").between(0, length - 1))
+    d = b.withColumn("d", F.col("v") - F.col("b")).withColumn("c", F.abs(F.col("d") - F.expr("percentile(d, 0.5)").over(own)))
+    d = d.withColumn("mad", 1.4826 * F.expr("percentile(c, 0.5)").over(own)).withColumn("sd", F.stddev_pop("d").over(own))
+    d = d.withColumn("near", F.when(F.abs("d") <= th * F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")), F.col("d")))
+    return d.select("sig", "t", (F.col("b") + F.when(F.count("near").over(own) > 10, F.expr("percentile(near, 0.5)").over(own)).otherwise(0.0)).alias("v"))
+
+
+_add(
+    "percentile_baseline",
+    """, p AS (SELECT sig, t, v FROM sig UNION ALL SELECT sig, unnest(range(-12, 0)), quantile_cont(v, 0.5) FROM sig WHERE t < 10 GROUP BY sig UNION ALL SELECT sig, unnest(range(720, 732)), quantile_cont(v, 0.5) FROM sig WHERE t >= 710 GROUP BY sig),
+ f AS (SELECT sig, t, v, list_sort(list(v) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING))[7] AS b FROM p), d AS (SELECT *, v - b AS d FROM f WHERE t BETWEEN 0 AND 719),
+ m AS (SELECT sig, quantile_cont(d, 0.5) AS m, stddev_pop(d) AS sd FROM d GROUP BY sig), n AS (SELECT sig, 1.4826 * quantile_cont(abs(d - m), 0.5) AS mad, any_value(sd) AS sd FROM d JOIN m USING (sig) GROUP BY sig),
+ s AS (SELECT sig, CASE WHEN count(*) > 10 THEN quantile_cont(d, 0.5) ELSE 0 END AS shift FROM d JOIN n USING (sig) WHERE abs(d) <= 3 * CASE WHEN mad > 0 THEN mad ELSE sd END GROUP BY sig)
+ SELECT sig, t, round(b + coalesce(shift, 0), 6) AS v FROM d LEFT JOIN s USING (sig)""",
+    percentile_baseline,
+)
+
+
+def events_1d_topk(spark: SparkSession, sf_dir: str, n: int = 2) -> DataFrame:
+    """sig, label, size, k: the n longest events of each signal; of equally long ones the earlier."""
+    sizes = _events(spark, sf_dir).groupBy("sig", "label").agg(F.count("*").alias("size"))
+    k = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("size"), "label"))
+    return sizes.withColumn("k", k).where(F.col("k") <= n)
+
+
+def events_1d_min_size(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:
+    """sig, t of the samples in events of at least so many samples."""
+    size = F.count("*").over(Window.partitionBy("sig", "label"))
+    return _events(spark, sf_dir).withColumn("n", size).where(F.col("n") >= least).select("sig", "t")
+
+
+def select_overlapping(spark: SparkSession, sf_dir: str, neg: bool = False, seed: float = 150.0) -> DataFrame:
+    """sig, t of the events that hold (neg: do not hold) a sample over `seed`."""
+    e = _events(spark, sf_dir)
+    return e.join(e.where(F.col("r") > seed).select("sig", "label"), ["sig", "label"], "left_anti" if neg else "left_semi").select("sig", "t")
+
+
+QUERIES |= {
+    "events_1d_topk": events_1d_topk,
+    "events_1d_min_size": events_1d_min_size,
+    "select_overlapping": select_overlapping,
+    "select_nonoverlapping": lambda spark, sf_dir: select_overlapping(spark, sf_dir, neg=True),
+}
+_SEED = "(SELECT 1 FROM ev s WHERE s.sig = ev.sig AND s.label = ev.label AND s.r > 150)"
+ORACLES |= {
+    "events_1d_topk": f"WITH {EVENTS_SQL}, z AS (SELECT sig, label, count(*) AS size FROM ev GROUP BY sig, label) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sig ORDER BY size DESC, label) AS INTEGER) AS k FROM z) WHERE k <= 2",
+    "events_1d_min_size": f"WITH {EVENTS_SQL}, z AS (SELECT sig, label FROM ev GROUP BY sig, label HAVING count(*) >= 3) SELECT sig, t FROM ev SEMI JOIN z USING (sig, label)",
+    "select_overlapping": f"WITH {EVENTS_SQL} SELECT sig, t FROM ev WHERE EXISTS {_SEED}",
+    "select_nonoverlapping": f"WITH {EVENTS_SQL} SELECT sig, t FROM ev WHERE NOT EXISTS {_SEED}",
+}
