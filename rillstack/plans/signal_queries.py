@@ -9,12 +9,12 @@ from rillstack.sources.fixtures import SIGNALS_SQL, signals
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sig, label, t, r, sd): samples of runs whose residual over a rolling lower quartile exceeds 2 robust deviations."""
+    """(sig, label, t, r): samples of runs whose residual over a rolling lower quartile exceeds 2 robust deviations."""
     w = Window.partitionBy("sig").orderBy("t")
     s = signals(spark, sf_dir).withColumn("f0", F.expr("percentile(v, 0.25)").over(w.rowsBetween(-12, 12))).withColumn("r", F.col("v") - F.col("f0"))
     s = s.withColumn("sd", 1.4826 * F.expr("percentile(abs(r), 0.5)").over(Window.partitionBy("sig"))).withColumn("on", F.col("r") > 2 * F.col("sd"))
     s = s.withColumn("up", F.when(F.col("on") & ~F.coalesce(F.lag("on").over(w), F.lit(False)), 1).otherwise(0)).withColumn("label", F.sum("up").over(w))
-    return s.where("on").select("sig", "label", "t", "r", "sd")
+    return s.where("on").select("sig", "label", "t", "r")
 
 
 def events_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def events_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS_SQL = SIGNALS_SQL + """,
  a AS (SELECT sig, t, v - quantile_cont(v, 0.25) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS r FROM sig),
- b AS (SELECT a.*, 1.4826 * m.m AS sd, r > 2 * (1.4826 * m.m) AS hot FROM a JOIN (SELECT sig, quantile_cont(abs(r), 0.5) AS m FROM a GROUP BY sig) m USING (sig)),
+ b AS (SELECT a.*, r > 2 * (1.4826 * m.m) AS hot FROM a JOIN (SELECT sig, quantile_cont(abs(r), 0.5) AS m FROM a GROUP BY sig) m USING (sig)),
  c AS (SELECT *, CASE WHEN hot AND NOT coalesce(lag(hot) OVER (PARTITION BY sig ORDER BY t), false) THEN 1 ELSE 0 END AS up FROM b),
- ev AS (SELECT * FROM (SELECT sig, t, r, sd, hot, CAST(sum(up) OVER (PARTITION BY sig ORDER BY t) AS BIGINT) AS label FROM c) WHERE hot)"""
+ ev AS (SELECT * FROM (SELECT sig, t, r, hot, CAST(sum(up) OVER (PARTITION BY sig ORDER BY t) AS BIGINT) AS label FROM c) WHERE hot)"""
 
 QUERIES = {"events_1d": events_1d}
 ORACLES = {
@@ -188,10 +188,11 @@ def events_1d_min_size(spark: SparkSession, sf_dir: str, least: int = 3) -> Data
     return _events(spark, sf_dir).withColumn("n", size).where(F.col("n") >= least).select("sig", "t")
 
 
-def select_overlapping(spark: SparkSession, sf_dir: str, neg: bool = False, seed: float = 4.0) -> DataFrame:
-    """sig, t of the events that hold (neg: do not hold) a sample over `seed` robust deviations."""
-    e = _events(spark, sf_dir)
-    return e.join(e.where(F.col("r") > seed * F.col("sd")).select("sig", "label"), ["sig", "label"], "left_anti" if neg else "left_semi").select("sig", "t")
+def select_overlapping(spark: SparkSession, sf_dir: str, neg: bool = False, p: float = 0.9) -> DataFrame:
+    """sig, t of the events that hold (neg: do not hold) a seed: a residual over the p-quantile of the signal's event samples."""
+    e = _events(spark, sf_dir).withColumn("r", F.round("r", 6))
+    e = e.withColumn("seed", F.col("r") > F.expr(f"percentile(r, {p})").over(Window.partitionBy("sig")))
+    return e.join(e.where("seed").select("sig", "label"), ["sig", "label"], "left_anti" if neg else "left_semi").select("sig", "t")
 
 
 QUERIES |= {
@@ -200,7 +201,7 @@ QUERIES |= {
     "select_overlapping": select_overlapping,
     "select_nonoverlapping": lambda spark, sf_dir: select_overlapping(spark, sf_dir, neg=True),
 }
-_SEED = "(SELECT 1 FROM ev s WHERE s.sig = ev.sig AND s.label = ev.label AND s.r > 4.0 * s.sd)"
+_SEED = "(SELECT 1 FROM ev s JOIN (SELECT sig, quantile_cont(round(r, 6), 0.9) AS q FROM ev GROUP BY sig) q ON q.sig = s.sig WHERE s.sig = ev.sig AND s.label = ev.label AND round(s.r, 6) > q.q)"
 ORACLES |= {
     "events_1d_topk": f"WITH {EVENTS_SQL}, z AS (SELECT sig, label, count(*) AS size FROM ev GROUP BY sig, label) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sig ORDER BY size DESC, label) AS INTEGER) AS k FROM z) WHERE k <= 2",
     "events_1d_min_size": f"WITH {EVENTS_SQL}, z AS (SELECT sig, label FROM ev GROUP BY sig, label HAVING count(*) >= 3) SELECT sig, t FROM ev SEMI JOIN z USING (sig, label)",
