@@ -213,9 +213,9 @@ def link_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     return named.join(least_id, "_root", "left").select("doc_id", F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id. Rows without a doc_id stay."""
-    gone = stash(link_components(docs, **how).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
+def keep_one(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """docs without the rows whose component (five words, 0.8 or more) has a smaller doc_id. Rows without a doc_id stay."""
+    gone = stash(link_components(docs, width, threshold).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
