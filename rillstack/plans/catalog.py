@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from rillstack.plans import frame_queries, mask_queries, signal_queries
+from rillstack.plans import event_queries, frame_queries, mask_queries, signal_queries
 
-_MODULES = [signal_queries, frame_queries, mask_queries]
+_MODULES = [signal_queries, frame_queries, mask_queries, event_queries]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
