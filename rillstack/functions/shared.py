@@ -1,15 +1,21 @@
-"""Cutting the lineage of loops."""
+"""The folder that executors share, and cutting the lineage of loops."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df by way of spark.checkpoint.dir, which executors share; a folder of its own only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which executors share; a folder of its own only where that is unset, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillstack-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillstack-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df by way of the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -58,3 +58,12 @@ def test_svd_denoise_keeps_what_few_components_hold(spark):
     frames = spark.range(2000).selectExpr("id div 100 t", "id div 10 % 10 y", "id % 10 x").withColumn("v", 20.0 + 5 * (F.col("t") % 7))
     both = svd_denoise(frames).withColumnRenamed("v", "d").join(frames, ["t", "y", "x"])
     assert both.count() == 2000 and both.where(F.abs(F.col("d") - anscombe_inverse(anscombe(F.col("v")))) > 1e-6).isEmpty()
+
+
+def test_stream_of_many_files_is_the_table(spark, tmp_path):
+    from rillstack.streaming.hourly import follow, hourly
+
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    rows = lambda df: {(r.sig, r.t): round(r.v, 6) for r in df.collect()}
+    assert rows(follow(spark, str(tmp_path / "in"))) == rows(hourly(events))
