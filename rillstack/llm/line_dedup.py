@@ -1,12 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 A line is what stands between two `\\n`; lines compare by their white-space separated words, blank lines never match.
-The window at a line is the shortest run of lines from it with `min_words` words or more. Each window selects its
-smallest line hash as a fingerprint, so any run of that many words that two places share has a fingerprint in common.
+The windows at a line are the shortest run of lines from it, and the shortest up to it, with `min_words` words or more. Each
+window selects its smallest line hash as a fingerprint, so any run of that many words that two places share has a fingerprint in common.
 Fingerprints that occur once are dropped; the positions of the others are joined, and around each the windows that
-selected it are compared: equal neighbouring windows extend the match both ways, line by line. Every run of lines that
+selected it are compared: equal windows from a line extend the match to the left, equal ones up to a line to the right, line
+by line, so together they cover all of a repeated run. Every window that
 also starts earlier (smaller doc_id, or the same document, earlier line) is deleted; its first occurrence stays.
 
+The registered query's SQL has the windows from a line only (`ends=False`): there the last lines of a run, under `min_words`
+words together, may stay. The pipeline's stage, which has no SQL, takes both.
+
 Only a count of each fingerprint and the least position of each window's content are aggregated, both partially
 before their shuffle, and the final join has one row per document, so a line that a third of all rows hold makes no
 large group.
@@ -38,8 +42,9 @@ def _powers(r: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def windows(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
-    """Windows of a slice: document, first and last line, fingerprint and its place, two content hashes."""
+def windows(data: np.ndarray, off: np.ndarray, min_words: int, ends: bool = True) -> dict[str, np.ndarray]:
+    """Windows of a slice: document, first and last line, fingerprint and its place, two content hashes. With `ends`, also
+    the shortest windows up to each line that are not the shortest from their first."""
     own, cut = data[off[0] : off[-1]], off - off[0]
     w = Words(data, off, _SPACE, lower=False)
     breaks = np.flatnonzero(own == 10)
@@ -58,7 +63,13 @@ def windows(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.n
     words = np.concatenate(([0], np.cumsum(count)))
     end = np.searchsorted(words, words[:-1] + min_words)  # one past the window's last line
     ok = (end <= n) & (doc[np.minimum(end - 1, n - 1)] == doc)
-    i, end = np.flatnonzero(ok), end[ok]
+    i, stop = np.flatnonzero(ok), end[ok]
+    if ends:
+        start = np.searchsorted(words, words[1:] - min_words, "right") - 1
+        z = np.flatnonzero((start >= 0) & (doc[np.maximum(start, 0)] == doc))
+        z = z[end[start[z]] != z + 1]
+        i, stop = np.concatenate((i, start[z])), np.concatenate((stop, z + 1))
+    end = stop
     best, place = line[i].copy(), i.copy()
     left, k = np.flatnonzero(end - i > 1), 1
     while len(left):
@@ -79,7 +90,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U64).view(np.int64))
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, ends: bool = True) -> DataFrame:
     """(_d, _k, gone): for each document with repeats its windows, as (first, last) lines, that also start earlier."""
     rows = docs.select(*row_key(), F.col("text").alias("_t"))
 
@@ -87,7 +98,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             data, off = buffers(b.column(0))
             for i, j in slices(off):
-                w = windows(data, off[i : j + 1], min_words)
+                w = windows(data, off[i : j + 1], min_words, ends)
                 if len(w["doc"]):
                     _, one = np.unique(w["place"], return_index=True)
                     yield pa.RecordBatch.from_arrays([_long(w["mark"][one])], ["_m"])
@@ -96,7 +107,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for b in batches:
             data, off = buffers(b.column(2))
             for i, j in slices(off):
-                w = windows(data, off[i : j + 1], min_words)
+                w = windows(data, off[i : j + 1], min_words, ends)
                 at = pa.array(w["doc"] + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(w["first"]), pa.array(w["last"]), _long(w["mark"]), _long(w["w1"]), _long(w["w2"])], ["_d", "_k", "_i", "_j", "_m", "_1", "_2"])
 
@@ -118,9 +129,10 @@ def _cut(text: bytes, gone: np.ndarray) -> tuple[bytes, int, int]:
     return b"\n".join(x for x, s in zip(lines, stay, strict=True) if s), len(lines), int((~stay).sum())
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
-    """docs with the repeated runs cut out of `text`; with `counts`, also _lines and _removed."""
-    gone = removals(docs, min_words)
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, ends: bool = True) -> DataFrame:
+    """docs with the repeated runs cut out of `text`; with `counts`, also _lines and _removed; without `ends`, by the
+    windows from each line alone."""
+    gone = removals(docs, min_words, ends)
     keyed = docs.select(*docs.columns, *row_key())
     joined = keyed.join(gone, ["_d", "_k"], "left").select(*docs.columns, "gone")
     at = docs.columns.index("text")
@@ -159,7 +171,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = Fals
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed (lines cut), kept_sha256 (of the text that is left; null: of nothing)."""
-    done = dedup_lines(spark_tables(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    done = dedup_lines(spark_tables(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, ends=False)
     return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

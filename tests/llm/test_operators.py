@@ -70,6 +70,31 @@ def test_line_dedup(docs):
     assert LINE in text[1] and LINE not in text[2] and text[6] == "" and text[7] == "" and text[3] is None and text[4] == ""
 
 
+def test_line_dedup_covers_runs(spark):
+    """Exactly the lines of runs of 50 words or more that also start earlier go, as counted run by run."""
+    long, mid, end = words(21, 60), words(22, 20), words(23, 20)
+    r = random.Random(8)
+    pool = [words(30 + i, r.choice([1, 5, 10, 20, 25, 30, 49, 50, 60])) for i in range(12)] + ["", "  "]
+    texts = ["\n".join([long, mid, end, words(24, 9)]), "\n".join([words(25, 9), long, "", mid, end, words(26, 70)])]
+    texts += ["\n".join(r.choice(pool) for _ in range(r.randrange(1, 14))) for _ in range(60)]
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        cut = text.split("\n")
+        at = [i for i, x in enumerate(cut) if x.split()]
+        gone = set()
+        for a in range(len(at)):
+            for z in range(a, len(at)):
+                body = tuple(" ".join(cut[i].split()) for i in at[a : z + 1])
+                if sum(len(x.split()) for x in body) >= 50:
+                    if body in seen:
+                        gone |= set(range(at[a], at[z] + 1))
+                    seen.add(body)
+        want[d] = "\n".join(x for i, x in enumerate(cut) if i not in gone)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(rows).collect()}
+    assert got == want and got[1] == words(25, 9) + "\n" + words(26, 70)
+
+
 def test_jaccard(docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_components(docs).collect()}
     assert got[3] == (0, 3) and got[12] == (1, 12) and got[13] == (1, 12) and got[10][1] == 9 and got[14][1] == 14
