@@ -198,9 +198,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, _z (the text's bytes, zipped), cand: the windows of repeated anchors, packed, and own, runs (kind, s, n) to be
     taken in order of kind: 0: of segments that are the first of their content, and so not repeats; 1: that are
     repeats all the same; 2: windows of these that are not."""
-    key = row_key()
-    key[1] = F.col("_h").bitwiseAND((1 << 24) - 1).alias("_k")  # tells texts of one doc_id apart
-    keyed = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), row_key()[1].alias("_h"), row_key()[0]).select("doc_id", "_t", "_d", key[1])
+    keyed = docs.select("doc_id", F.col("text").cast("binary").alias("_t"), *row_key())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def hashes(batches):

@@ -63,6 +63,30 @@ def test_suffix_dedup(spark, docs, hot, monkeypatch):
     assert suffix_dedup.dedup_bytes(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_one_key(spark):
+    """Rows with a null or a repeated doc_id, by brute force: texts of one doc_id are in order of their hash. Hashes that agree in
+    their last 24 bits make no difference."""
+    pool = [words(200 + i, 30) for i in range(8)]
+    r = random.Random(3)
+    texts = [" ".join([*(r.choice(pool) for _ in range(r.randrange(4))), words(300 + i, r.randrange(40))]) for i in range(60)]
+    low, pair = {}, None
+    for at in range(0, 200_000, 20_000):
+        for x in spark.range(at, at + 20_000).select(F.concat(F.lit("t "), "id").alias("t"), F.xxhash64(F.concat(F.lit("t "), "id", F.lit(" " + pool[0]))).alias("h")).collect():
+            pair = pair or (low[x.h & 0xFFFFFF], x.t) if x.h & 0xFFFFFF in low else pair
+            low[x.h & 0xFFFFFF] = x.t
+        if pair:
+            break
+    texts += [f"{t} {pool[0]}" for t in pair] + ["", None]
+    for ids in ([None] * len(texts), [7] * len(texts), [None if i % 3 else i % 2 for i in range(len(texts))]):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        place = [(-(1 << 63) if x.doc_id is None else x.doc_id, x.h, x.text or "") for x in rows.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+        order = sorted(set(place))
+        known = suffix_dedup.brute_force([(i, t.encode()) for i, (_, _, t) in enumerate(order)])
+        want = sorted((d, known[order.index((d, h, t))]) for d, h, t in place)
+        got = suffix_dedup.dedup_bytes(rows).collect()
+        assert sorted((-(1 << 63) if x.doc_id is None else x.doc_id, (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest())) for x in got) == want
+
+
 def test_line_dedup(docs):
     done = line_dedup.dedup_lines(docs)
     assert done.columns == docs.columns and done.count() == len(ROWS)
