@@ -12,7 +12,8 @@ The corpus is never shuffled. The benchmark is split into blocks of at most `BLO
 time is sent to the tasks, so what is broadcast does not grow; with several blocks their results meet by row.
 
 Defined cases: a null or empty text has no words and is clean; an item without words is never found; repeated rows
-and repeated items each count; extra columns pass through; with an empty benchmark all is clean; empty tables give empty results.
+and repeated items each count; items without an item_id count together as one item without a name, whose passages are hits as any
+other's, and only their name is left out of items_sha256; extra columns pass through; with an empty benchmark all is clean; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -157,12 +158,13 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS):
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(w.hash.view(np.int64)))], ["item_id", "h"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    items = benchmark.select("item_id", "text").mapInArrow(extract, f"item_id {kind}, h array<long>").where("item_id is not null")
+    items = benchmark.select("item_id", "text").mapInArrow(extract, f"item_id {kind}, h array<long>")
+    deal = F.when(F.col("item_id").isNull(), F.xxhash64("h")).otherwise(F.xxhash64("item_id"))
     words = items.agg(F.sum(F.size("h"))).first()[0] or 0
     parts = max(1, -(-words // most))
     for k in range(parts):
-        got = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
-        yield Tests(sorted([(i, np.array(h, np.int64).view(U64)) for i, h in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)], key=lambda x: x[0]), window)
+        got = items.where(F.pmod(deal, F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
+        yield Tests(sorted([(i, np.array(h, np.int64).view(U64)) for i, h in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)], key=lambda x: (x[0] is not None, x[0])), window)
 
 
 def _results(tests: Tests, texts: pa.Array) -> list:

@@ -153,6 +153,29 @@ def test_decontaminate(docs, bench, monkeypatch):
     assert 12 not in left and 1 in left and decontaminate.remove_contaminated(docs, bench.limit(0)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("most", [4_000_000, 10])
+def test_decontaminate_items_without_id(spark, docs, monkeypatch, tmp_path, most):
+    """Their hits count, as in the SQL, in one block and in several."""
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (decontaminate.WINDOW, most))
+    items = spark.createDataFrame([(None, words(9, 14)), (None, None), (2, "a b c"), (3, words(3, 15))], "item_id long, text string")
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").union(spark.createDataFrame([(20, words(9, 50)), (21, words(9, 14) + " a b c")], "doc_id long, text string"))
+    items.write.parquet(f"{tmp_path}/benchmark.parquet"), rows.write.parquet(f"{tmp_path}/documents.parquet")
+    own = decontaminate.op8_decontaminate(spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    other = db.sql(ORACLES["op8_decontaminate"]).df()
+    cols = sorted(own.columns)
+    x, y = (t[cols].astype(str).sort_values(cols).reset_index(drop=True) for t in (own, other))
+    assert x.equals(y)
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in own.itertuples()}
+    assert got[20] == (14, 1, True) and got[21] == (17, 2, True)
+    twice = items.union(spark.createDataFrame([(None, words(5, 12))], items.schema))
+    left = {r.doc_id for r in decontaminate.remove_contaminated(rows, twice).collect()}
+    assert not left & {2, 12, 14, 20, 21} and {1, 7} <= left
+    assert {r.doc_id: r["items"] for r in decontaminate.matches(rows, twice).collect()}[14] == [None]
+
+
 def test_mixing(docs):
     rows = mixing.taken(docs).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.taken <= 3 * r.size for r in rows) and sorted(map(str, rows)) == sorted(map(str, mixing.taken(docs).collect()))
