@@ -2,7 +2,8 @@
 
 Each page is read as a run of tags and texts. Containers (div, article, section and so on) are named by generalised
 paths, tags with their classes with digits taken out. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments are known by tag or class and never count. A page's containers are scored by the text under them, more
+and comments are known by tag or by whole class words and never count; a container known by class that holds most of the page's
+plain text stays, and its text counts a quarter in the scores. A page's containers are scored by the text under them, more
 for those that mark an article, less for text in links; each page shares out its vote among its best
 containers. Votes are added up by host and path in Spark, and every page is read once more with its host's winning path. A
 page where that path finds no text is read with its own best container.
@@ -35,21 +36,36 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"[\s\x00]+")
 #: Fixed values.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "xmp", "noembed", "noframes"}
 _CONTAINER = {"html", "head", "body", "div", "main", "section", "article", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tr", "td", "th", "figure", "blockquote", "center", "fieldset", "details", "dialog", "menu", "button", "select", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "address", "summary"}
 _BLOCK_ONLY = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "tr", "td", "th", "tbody", "thead", "address", "summary"}
 _BREAK = {"hr"}
 _NEVER = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_BAD = re.compile(r"(?:^|[-_ ])(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|notices?|alerts?|gdpr|popups?|modals?|sidebars?|side|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|headers?|masthead|footers?|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|login|search|toolbar|pagination|pager|hidden|copyright|legal)(?:$|[-_ ]|\d)", re.I)
+#: Class words are split at hyphens: one is bad if all its parts are bad or say where it stands, and not all the latter.
+_BAD = re.compile(r"(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|notices?|alerts?|gdpr|popups?|modals?|sidebars?|side|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|headers?|masthead|footers?|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|login|search|toolbar|pagination|pager|hidden|copyright|legal)\d*", re.I)
+_PLACE = re.compile(r"(?:page|site|main|global|top|bottom|left|right|center|inner|outer|upper|lower|primary|secondary|first|last|sub|small|large|mini|box|area|container|wrapper|wrap|list|bar|block|section|panel|items?|links?|group|row|col|columns?|entry|posts?|articles?|content|text|body|title|icons?|buttons?|btn|form|fields?|image|img|media|native|sticky|fixed|floating|mobile|desktop|js|module|region|zone|slot|unit|holder|layer|overlay|policy|law|info|message|success|warning|danger|error|user|blog)?\d*", re.I)
+#: What a block counts for in a container that its class words speak against, but that holds most of the page's plain text.
+_DOUBT = 0.25
+_EMPTY = re.compile(r"""(?:^|[\s"'])/\Z""")
 _GOOD = re.compile(r"(?:^|[-_ ])(?:articles?|content|post|entry|story|body|text|main|page)(?:$|[-_ ]|\d)", re.I)
 
 
+def bad(names: str) -> bool:
+    """Whether a class or id word says that what it marks is not the page's own text."""
+    for name in names.split():
+        parts = re.split("[-_]+", name)
+        if any(_BAD.fullmatch(x) for x in parts) and all(_BAD.fullmatch(x) or _PLACE.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
 def read(page: str) -> tuple[list[list], list[str]]:
-    """Blocks [path numbers of the containers they stand in, text, characters in links], and the paths."""
+    """Blocks [path numbers of the containers they stand in, text, characters in links, weight], and the paths."""
     paths: list[str] = []
     known: dict[str, int] = {}
-    stack: list[tuple[str, int, bool]] = []  # tag, path number (-1: block only), never
+    stack: list[tuple[str, int, bool, tuple]] = []  # tag, path number (-1: block only), never, doubtful containers it is in
+    doubtful = 0
     blocks: list[list] = []
     text: list[str] = []
     state = {"link": 0, "linked": 0}
@@ -58,7 +74,7 @@ def read(page: str) -> tuple[list[list], list[str]]:
         if text:
             whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if whole:
-                blocks.append([[p for _, p, _ in stack if p >= 0], whole, state["linked"]])
+                blocks.append([[p for _, p, _, _ in stack if p >= 0], whole, state["linked"], stack[-1][3] if stack else ()])
             text.clear()
         state["linked"] = 0
 
@@ -79,12 +95,14 @@ def read(page: str) -> tuple[list[list], list[str]]:
         if m[1]:
             if tag == "a":
                 state["link"] = 0
-            elif tag in _CONTAINER and any(t == tag for t, _, _ in stack):
+            elif tag in _CONTAINER and any(t == tag for t, *_ in stack):
                 close()
                 while stack.pop()[0] != tag:
                     pass
             continue
-        if tag in _RAW:
+        if tag in _RAW and _EMPTY.search(m[3]):
+            text.append(" ")
+        elif tag in _RAW:
             found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = found.end() if found else n
             text.append(" ")
@@ -104,18 +122,30 @@ def read(page: str) -> tuple[list[list], list[str]]:
                     stack.pop()
             marks = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
             names = f"{marks.get('class', '')} {marks.get('id', '')}".strip()
-            never = bool(stack and stack[-1][2]) or tag in _NEVER or "hidden" in marks or marks.get("aria-hidden") == "true" or bool(names and tag not in ("html", "body", "article", "main") and _BAD.search(names)) or marks.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
+            never = bool(stack and stack[-1][2]) or tag in _NEVER or "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
+            doubts = stack[-1][3] if stack else ()
+            if not never and names and tag not in ("html", "body", "article", "main") and bad(names):
+                if tag in _BLOCK_ONLY:
+                    never = True
+                else:
+                    doubts, doubtful = (*doubts, doubtful), doubtful + 1
             number = -1
             if tag not in _BLOCK_ONLY:
-                parent = next((p for _, p, _ in reversed(stack) if p >= 0), None)
+                parent = next((p for _, p, *_ in reversed(stack) if p >= 0), None)
                 kind = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in marks.get("class", "").split()} - {""})])
                 name = f"{paths[parent]}/{kind}" if parent is not None else kind
                 number = known.setdefault(name, len(paths))
                 if number == len(paths):
                     paths.append(name)
-            stack.append((tag, number, never))
+            stack.append((tag, number, never, doubts))
     close()
-    return blocks, paths
+    held, plain = [0] * doubtful, 0
+    for b in blocks:
+        if _plain(b):
+            plain += len(b[1])
+            for d in b[3]:
+                held[d] += len(b[1])
+    return [[*b[:3], _DOUBT if b[3] else 1.0] for b in blocks if all(2 * held[d] > plain for d in b[3])], paths
 
 
 def _plain(block: list) -> bool:
@@ -128,7 +158,7 @@ def scores(blocks: list[list], paths: list[str]) -> list[float]:
     for b in blocks:
         if _plain(b):
             for p in set(b[0]):
-                out[p] += len(b[1])
+                out[p] += len(b[1]) * b[3]
     for p, name in enumerate(paths):
         tag, *classes = name.rsplit("/", 1)[-1].split(".")
         out[p] *= {"article": 3.0, "main": 2.5, "html": 0.5, "body": 0.8}.get(tag, 2.0 if any(_GOOD.search(c) for c in classes) else 1.0)

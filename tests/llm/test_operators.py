@@ -236,5 +236,18 @@ def test_html(spark):
     assert got == {1: "T é é\nOne link two three\nFour\nx\ny", 2: "", 3: "", 4: "just text"}
 
 
+def test_html_keeps_articles_in_odd_wrappers():
+    body = "<p>One long line of the article itself</p><p>and a second one</p>"
+    whole = "One long line of the article itself\nand a second one"
+    for names in ("no-sidebar", "has-sidebar", "comments-open", "share-enabled", "overflow-hidden", "sidebar", "widget-area"):
+        assert html_extract.extract(f'<body><div class="{names}"><div>{body}<div class="page-sidebar">side</div><div id="comments"><p>c</div></div></div></body>', None) == whole
+    for raw in ("<svg/>", '<svg class="x" />', "<math/>", '<script src="x"/>'):
+        assert html_extract.extract(f"<body><div>{raw}{body}</div></body>", None) == whole
+    assert html_extract.extract("<body><div><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be</p></div></body>", None) == "Let x=1 be"
+    assert html_extract.extract("<body><div><p>a<svg><text>t</text></svg>b</p></div></body>", None) == "a b"
+    for names in ("ad", "sidebar3", "site-footer", "cookie-banner", "sidebar_left", "related-posts"):
+        assert html_extract.extract(f'<body><div>{body}</div><div class="x {names}">other</div></body>', None) == whole
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "near duplicates" and corpus_pipeline.run(spark, DIR).count() > 0
