@@ -157,3 +157,13 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list:
     """Two columns that tell rows apart even if a doc_id is null or repeated: `_d` (null: the smallest long) and `_k`.
     Rows alike in both are the same document twice and get the same result."""
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_k")]
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """_d, _k and the columns of docs by their places (_c0, _c1, ..), so that no name of theirs clashes."""
+    return docs.select(*row_key(), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)))
+
+
+def unmarked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of marked rows under their own names again."""
+    return rows.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
