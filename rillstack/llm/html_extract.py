@@ -1,25 +1,28 @@
 """HTML extraction by consensus host paths.
 
 Each page is read as a run of tags and texts. Containers (div, article, section and so on) are named by generalised
-paths, tags with their classes with digits taken out. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments are known by tag or by whole class words and never count; a container known by class that holds most of the page's
-plain text stays, and its text counts a quarter in the scores. A page's containers are scored by the text under them, more
-for those that mark an article, less for text in links; each page shares out its vote among its best
-containers. Votes are added up by host and path in Spark, and every page is read once more with its host's winning path. A
-page where that path finds no text is read with its own best container.
+paths, tags with their classes with digits taken out, told apart by 64-bit hashes. Menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and comments are known by tag or by whole class words, in inline elements too, and never count; a container known by class that
+holds most of the page's plain text stays, and its text counts a quarter in the scores. A page's containers are scored by the text under them, more
+for those that mark an article, less for text in links; each page shares out its vote among its containers by score. Votes are
+added up by host and path in Spark, and every page is read once more with its host's winning path. A page where that
+path has less than a quarter of the score of the page's own best container is read with its own best.
 
 Votes are aggregated partially, so one host may hold any share of the pages; winners (a row for each host) are broadcast only if
-counted to be few, else joined.
+counted to be few, else joined. A page is gone through in a time in proportion to its length, whatever it nests or leaves open.
 
 Defined cases: null or empty html, or html without text, gives an empty text; a null url or one without a host votes in one group;
-repeated rows each get their text; unclosed and misnested tags close with their container; extra columns are ignored; an empty
+repeated rows each get their text; unclosed and misnested tags close with their container; a tag ends at the next > outside of quotes, and from
+the first quote on that is never closed at the next > of any kind; < that opens no tag is text; extra columns are ignored; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,23 +33,26 @@ from rillstack.llm.url_filter import host
 
 #: Hosts up to which the winning paths are broadcast.
 BROADCAST_HOSTS = 200_000
-#: Best containers of a page that share its vote.
-VOTES = 3
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: Share of the own best container's score that the host's path must have on a page.
+LEAST_SHARE = 0.25
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _SPACE = re.compile(r"[\s\x00]+")
 #: Fixed values.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "annotation", "annotation-xml", "noembed", "noframes"}
 _CONTAINER = {"html", "head", "body", "div", "main", "section", "article", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "tbody", "thead", "tr", "td", "th", "figure", "blockquote", "center", "fieldset", "details", "dialog", "menu", "button", "select", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "address", "summary"}
 _BLOCK_ONLY = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "figcaption", "caption", "tr", "td", "th", "tbody", "thead", "address", "summary"}
 _BREAK = {"hr"}
 _NEVER = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog"}
+_INLINE = {"span", "a", "ins", "b", "i", "em", "strong", "small", "label", "font", "mark", "u", "s", "sub", "sup", "big", "abbr", "cite", "q"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Class words are split at hyphens: one is bad if all its parts are bad or say where it stands, and not all the latter.
 _BAD = re.compile(r"(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|notices?|alerts?|gdpr|popups?|modals?|sidebars?|side|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|headers?|masthead|footers?|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|login|search|toolbar|pagination|pager|hidden|copyright|legal)\d*", re.I)
 _PLACE = re.compile(r"(?:page|site|main|global|top|bottom|left|right|center|inner|outer|upper|lower|primary|secondary|first|last|sub|small|large|mini|box|area|container|wrapper|wrap|list|bar|block|section|panel|items?|links?|group|row|col|columns?|entry|posts?|articles?|content|text|body|title|icons?|buttons?|btn|form|fields?|image|img|media|native|sticky|fixed|floating|mobile|desktop|js|module|region|zone|slot|unit|holder|layer|overlay|policy|law|info|message|success|warning|danger|error|user|blog)?\d*", re.I)
 #: What a block counts for in a container that its class words speak against, but that holds most of the page's plain text.
 _DOUBT = 0.25
+_RAW_END = {tag: re.compile(rf"</{re.escape(tag)}\b", re.I) for tag in _RAW}
 _EMPTY = re.compile(r"""(?:^|[\s"'])/\Z""")
 _GOOD = re.compile(r"(?:^|[-_ ])(?:articles?|content|post|entry|story|body|text|main|page)(?:$|[-_ ]|\d)", re.I)
 
@@ -60,144 +66,215 @@ def bad(names: str) -> bool:
     return False
 
 
-def read(page: str) -> tuple[list[list], list[str]]:
-    """Blocks [path numbers of the containers they stand in, text, characters in links, weight], and the paths."""
-    paths: list[str] = []
-    known: dict[str, int] = {}
-    stack: list[tuple[str, int, bool, tuple]] = []  # tag, path number (-1: block only), never, doubtful containers it is in
-    doubtful = 0
-    blocks: list[list] = []
-    text: list[str] = []
-    state = {"link": 0, "linked": 0}
-
-    def close() -> None:
-        if text:
-            whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
-            if whole:
-                blocks.append([[p for _, p, _, _ in stack if p >= 0], whole, state["linked"], stack[-1][3] if stack else ()])
-            text.clear()
-        state["linked"] = 0
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else n
-        if end > at and not (stack and stack[-1][2]):
-            text.append(page[at:end])
-            if state["link"]:
-                state["linked"] += end - at
-        if not m:
+def _tags(page: str):
+    """(text before, closing, tag, attributes, where it ends) of each tag, and last the rest of the text."""
+    at, begin, n, last, quotes = 0, 0, len(page), page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0:
             break
-        at = m.end()
-        if not m[2]:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at)
+            jump = yield page[begin:at], "", "", "", 0
+            at = begin = end + 3 if end >= 0 else n
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "a":
-                state["link"] = 0
-            elif tag in _CONTAINER and any(t == tag for t, *_ in stack):
-                close()
-                while stack.pop()[0] != tag:
-                    pass
-            continue
-        if tag in _RAW and _EMPTY.search(m[3]):
-            text.append(" ")
-        elif tag in _RAW:
-            found = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = found.end() if found else n
-            text.append(" ")
-        elif tag == "br":
-            text.append(" ")
-        elif tag in _BREAK:
-            close()
-        elif tag == "a":
-            state["link"] = 1
-        elif tag in _CONTAINER and not (tag in _VOID):
-            close()
-            if tag in _BLOCK_ONLY:
-                while stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack and stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
-                    stack.pop()
+        if at > last:  # no tag can end any more
+            break
+        m = _NAME.match(page, at + 1)
+        if m is None:
+            if page.startswith(("<!", "<?"), at):
+                jump = yield page[begin:at], "", "", "", 0
+                at = begin = page.find(">", at) + 1
             else:
-                while stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    stack.pop()
-            marks = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])} if m[3] else {}
+                at += 1
+            continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            quotes = False
+        end = rest.end() if rest else page.find(">", m.end()) + 1
+        jump = yield page[begin:at], m[1], m[2].lower(), page[m.end() : end - 1], end
+        at = begin = jump if jump is not None else end
+        if jump is not None:
+            yield None
+    yield page[begin:], "", "", "", 0
+
+
+class Page:
+    """Blocks (container, text, characters in links, doubt) of a page; containers as (parent, tag, classes, hash, depth),
+    parents first. -1: none."""
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self.containers: list[tuple[int, str, tuple, int, int]] = []
+        doubts: list[int] = []  # the doubtful container each stands in
+        known: dict[tuple, int] = {}
+        stack: list[tuple[str, int, bool, int, bool]] = []  # tag, container, never, doubt, inline
+        text: list[str] = []
+        link = linked = 0
+
+        def close() -> None:
+            nonlocal linked
+            if text:
+                whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
+                if whole:
+                    self.blocks.append((stack[-1][1] if stack else -1, whole, linked, stack[-1][3] if stack else -1))
+                text.clear()
+            linked = 0
+
+        open_: Counter = Counter()  # tags on the stack
+
+        def pop() -> str:
+            tag = stack.pop()[0]
+            open_[tag] -= 1
+            return tag
+
+        tags = _tags(page)
+        for before, closing, tag, attributes, end in tags:
+            if before and not (stack and stack[-1][2]):
+                text.append(before)
+                if link:
+                    linked += len(before)
+            if not tag:
+                continue
+            if closing:
+                if tag == "a":
+                    link = 0
+                if open_[tag]:
+                    if tag in _CONTAINER:
+                        close()
+                        while pop() != tag:
+                            pass
+                    elif stack[-1][4] and any(t == tag for t, *_, inline in self._inline(stack) if inline):
+                        while pop() != tag:
+                            pass
+                continue
+            if tag in _RAW:
+                text.append(" ")
+                if not _EMPTY.search(attributes):
+                    found = _RAW_END[tag].search(page, end)
+                    tags.send(page.find(">", found.end()) + 1 or len(page) if found else len(page))
+                continue
+            if tag == "br":
+                text.append(" ")
+                continue
+            if tag in _BREAK:
+                close()
+                continue
+            if tag == "a":
+                link = 1
+            if tag in _VOID or not (tag in _CONTAINER or tag in _INLINE):
+                continue
+            marks = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attributes)} if attributes else {}
             names = f"{marks.get('class', '')} {marks.get('id', '')}".strip()
-            never = bool(stack and stack[-1][2]) or tag in _NEVER or "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
-            doubts = stack[-1][3] if stack else ()
+            hidden = "hidden" in marks or marks.get("aria-hidden") == "true" or marks.get("role") in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
+            if tag in _INLINE:
+                if hidden or names and bad(names):
+                    text.append(" ")
+                    stack.append((tag, stack[-1][1] if stack else -1, True, stack[-1][3] if stack else -1, True))
+                    open_[tag] += 1
+                continue
+            close()
+            while stack and (stack[-1][4] or stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][0] == tag):
+                pop()
+            parent, never, doubt = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (-1, False, -1)
+            never = never or tag in _NEVER or hidden
             if not never and names and tag not in ("html", "body", "article", "main") and bad(names):
                 if tag in _BLOCK_ONLY:
                     never = True
                 else:
-                    doubts, doubtful = (*doubts, doubtful), doubtful + 1
-            number = -1
+                    doubts.append(doubt)
+                    doubt = len(doubts) - 1
+            number = parent
             if tag not in _BLOCK_ONLY:
-                parent = next((p for _, p, *_ in reversed(stack) if p >= 0), None)
-                kind = ".".join([tag, *sorted({re.sub(r"\d+", "", c) for c in marks.get("class", "").split()} - {""})])
-                name = f"{paths[parent]}/{kind}" if parent is not None else kind
-                number = known.setdefault(name, len(paths))
-                if number == len(paths):
-                    paths.append(name)
-            stack.append((tag, number, never, doubts))
-    close()
-    held, plain = [0] * doubtful, 0
-    for b in blocks:
-        if _plain(b):
-            plain += len(b[1])
-            for d in b[3]:
-                held[d] += len(b[1])
-    return [[*b[:3], _DOUBT if b[3] else 1.0] for b in blocks if all(2 * held[d] > plain for d in b[3])], paths
-
-
-def _plain(block: list) -> bool:
+                classes = tuple(sorted({re.sub(r"\d+", "", c) for c in marks.get("class", "").split()} - {""}))
+                number = known.setdefault((parent, tag, classes), len(self.containers))
+                if number == len(self.containers):
+                    up, depth = (self.containers[parent][3], self.containers[parent][4]) if parent >= 0 else (0, 0)
+                    name = hashlib.blake2b(f"{up} {tag}.{'.'.join(classes)}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+                    self.containers.append((parent, tag, classes, int.from_bytes(name, "big", signed=True), depth + 1))
+            stack.append((tag, number, never, doubt, False))
+            open_[tag] += 1
+        close()
+        # doubtful containers stay only if they, and those around them, hold most of the plain text
+        held, plain = [0] * len(doubts), 0
+        for b in self.blocks:
+            if _plain(b):
+                plain += len(b[1])
+                if b[3] >= 0:
+                    held[b[3]] += len(b[1])
+        for d in range(len(doubts) - 1, -1, -1):
+            if doubts[d] >= 0:
+                held[doubts[d]] += held[d]
+        stays = []
+        for d, up in enumerate(doubts):
+            stays.append(2 * held[d] > plain and (up < 0 or stays[up]))
+        self.blocks = [b for b in self.blocks if b[3] < 0 or stays[b[3]]]
+
+    @staticmethod
+    def _inline(stack: list) -> list:
+        """The inline elements on top of the stack."""
+        k = len(stack)
+        while k and stack[k - 1][4]:
+            k -= 1
+        return stack[k:]
+
+    def scores(self) -> list[float]:
+        out = [0.0] * len(self.containers)
+        for b in self.blocks:
+            if b[0] >= 0 and _plain(b):
+                out[b[0]] += len(b[1]) * (1.0 if b[3] < 0 else _DOUBT)
+        for p in range(len(out) - 1, -1, -1):
+            parent = self.containers[p][0]
+            if parent >= 0:
+                out[parent] += out[p]
+        for p, (_, tag, classes, _, _) in enumerate(self.containers):
+            out[p] *= {"article": 3.0, "main": 2.5, "html": 0.5, "body": 0.8}.get(tag, 2.0 if any(_GOOD.search(c) for c in classes) else 1.0)
+        return out
+
+    def under(self, own: int) -> list[str]:
+        """The texts of the blocks in a container."""
+        inside = [False] * len(self.containers)
+        for p, (parent, *_) in enumerate(self.containers):
+            inside[p] = p == own or parent >= 0 and inside[parent]
+        return [b[1] for b in self.blocks if b[0] >= 0 and inside[b[0]]]
+
+
+def _plain(block: tuple) -> bool:
     """Whether less than half of a block is in links."""
     return 2 * block[2] < len(block[1])
 
 
-def scores(blocks: list[list], paths: list[str]) -> list[float]:
-    out = [0.0] * len(paths)
-    for b in blocks:
-        if _plain(b):
-            for p in set(b[0]):
-                out[p] += len(b[1]) * b[3]
-    for p, name in enumerate(paths):
-        tag, *classes = name.rsplit("/", 1)[-1].split(".")
-        out[p] *= {"article": 3.0, "main": 2.5, "html": 0.5, "body": 0.8}.get(tag, 2.0 if any(_GOOD.search(c) for c in classes) else 1.0)
-    return out
-
-
-def vote(page: str) -> list[tuple[str, float]]:
-    """The page's best containers and their shares of its vote."""
-    blocks, paths = read(page)
-    best = sorted(((s, len(p), p) for s, p in zip(scores(blocks, paths), paths, strict=True) if s > 0), reverse=True)[:VOTES]
-    total = sum(s for s, _, _ in best)
-    return [(p, s / total) for s, _, p in best]
-
-
-def extract(page: str, path: str | None) -> str:
-    """The text under the containers of the given path; under the page's own best if there is none."""
-    blocks, paths = read(page)
-    own = paths.index(path) if path in paths else -1
-    got = [b[1] for b in blocks if own in b[0]] if own >= 0 else []
-    if not got and blocks and paths:
-        s = scores(blocks, paths)
-        own = max(range(len(paths)), key=lambda p: (s[p], len(paths[p])))
-        got = [b[1] for b in blocks if own in b[0]]
-    if not got:
-        got = [b[1] for b in blocks]
-    return "\n".join(got)
+def vote(page: str) -> list[tuple[int, int, float]]:
+    """(hash, depth, share of the page's vote) of each of its containers with a score."""
+    own = Page(page)
+    s = own.scores()
+    total = sum(s)
+    return [(c[3], c[4], x / total) for c, x in zip(own.containers, s, strict=True) if x > 0]
+
+
+def extract(page: str, path: int | None = None) -> str:
+    """The text under the container of the given path; under the page's own best if that has next to nothing."""
+    own = Page(page)
+    s = own.scores()
+    best = max(range(len(s)), key=lambda p: (s[p], own.containers[p][4], -p), default=-1)
+    host_ = next((p for p, c in enumerate(own.containers) if c[3] == path), -1)
+    if host_ >= 0 and s[host_] > 0 and s[host_] >= LEAST_SHARE * s[best]:
+        best = host_
+    got = own.under(best) if best >= 0 else []
+    return "\n".join(got or [b[1] for b in own.blocks])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with the most votes of each host (ties: the longer, then the first)."""
+    """host, path: the path (its hash) with the most votes of each host (ties: the deeper, then the larger hash)."""
 
     def run(batches):
         for b in batches:
-            rows = [(h, p, s) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for p, s in vote(page or "")]
-            h, p, s = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.string()), pa.array([round(x * 1_000_000) for x in s], pa.int64())], ["host", "path", "vote"])
+            rows = [(h, *v) for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for v in vote(page or "")]
+            h, p, d, s = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(p, pa.int64()), pa.array(d, pa.int64()), pa.array([round(x * 1_000_000) for x in s], pa.int64())], ["host", "path", "depth", "vote"])
 
-    votes = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path string, vote long").groupBy("host", "path").agg(F.sum("vote").alias("vote"))
-    return votes.groupBy("host").agg(F.max(F.struct("vote", F.length("path").alias("n"), "path")).alias("m")).select("host", F.col("m.path").alias("path"))
+    votes = pages.select(host().alias("host"), "html").mapInArrow(run, "host string, path long, depth long, vote long").groupBy("host", "path", "depth").agg(F.sum("vote").alias("vote"))
+    return votes.groupBy("host").agg(F.max(F.struct("vote", "depth", "path")).alias("m")).select("host", F.col("m.path").alias("path"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
