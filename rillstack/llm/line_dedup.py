@@ -8,9 +8,6 @@ selected it are compared: equal windows from a line extend the match to the left
 by line, so together they cover all of a repeated run. Every window that
 also starts earlier (smaller doc_id, or the same document, earlier line) is deleted; its first occurrence stays.
 
-The registered query's SQL has the windows from a line only (`ends=False`): there the last lines of a run, under `min_words`
-words together, may stay. The pipeline's stage, which has no SQL, takes both.
-
 Only a count of each fingerprint and the least position of each window's content are aggregated, both partially
 before their shuffle, and the final join has one row per document, so a line that a third of all rows hold makes no
 large group.
@@ -27,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstack.llm.text import U64, Words, buffers, mix, row_key, slices, spark_tables, stash, weights, word_table
+from rillstack.llm.text import U64, Words, buffers, marked, mix, row_key, slices, spark_tables, stash, weights, word_table
 
 MIN_WORDS = 50
 _SPACE = word_table("space")
@@ -42,9 +39,9 @@ def _powers(r: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def windows(data: np.ndarray, off: np.ndarray, min_words: int, ends: bool = True) -> dict[str, np.ndarray]:
-    """Windows of a slice: document, first and last line, fingerprint and its place, two content hashes. With `ends`, also
-    the shortest windows up to each line that are not the shortest from their first."""
+def windows(data: np.ndarray, off: np.ndarray, min_words: int) -> dict[str, np.ndarray]:
+    """Windows of a slice: document, first and last line, fingerprint and its place, two content hashes. Those up to a line
+    that are also the shortest from their first line come once."""
     own, cut = data[off[0] : off[-1]], off - off[0]
     w = Words(data, off, _SPACE, lower=False)
     breaks = np.flatnonzero(own == 10)
@@ -64,11 +61,10 @@ def windows(data: np.ndarray, off: np.ndarray, min_words: int, ends: bool = True
     end = np.searchsorted(words, words[:-1] + min_words)  # one past the window's last line
     ok = (end <= n) & (doc[np.minimum(end - 1, n - 1)] == doc)
     i, stop = np.flatnonzero(ok), end[ok]
-    if ends:
-        start = np.searchsorted(words, words[1:] - min_words, "right") - 1
-        z = np.flatnonzero((start >= 0) & (doc[np.maximum(start, 0)] == doc))
-        z = z[end[start[z]] != z + 1]
-        i, stop = np.concatenate((i, start[z])), np.concatenate((stop, z + 1))
+    start = np.searchsorted(words, words[1:] - min_words, "right") - 1
+    z = np.flatnonzero((start >= 0) & (doc[np.maximum(start, 0)] == doc))
+    z = z[end[start[z]] != z + 1]
+    i, stop = np.concatenate((i, start[z])), np.concatenate((stop, z + 1))
     end = stop
     best, place = line[i].copy(), i.copy()
     left, k = np.flatnonzero(end - i > 1), 1
@@ -90,7 +86,7 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U64).view(np.int64))
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, ends: bool = True) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_d, _k, gone): for each document with repeats its windows, as (first, last) lines, that also start earlier."""
     rows = docs.select(*row_key(), F.col("text").alias("_t"))
 
@@ -98,7 +94,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, ends: bool = True) ->
         for b in batches:
             data, off = buffers(b.column(0))
             for i, j in slices(off):
-                w = windows(data, off[i : j + 1], min_words, ends)
+                w = windows(data, off[i : j + 1], min_words)
                 if len(w["doc"]):
                     _, one = np.unique(w["place"], return_index=True)
                     yield pa.RecordBatch.from_arrays([_long(w["mark"][one])], ["_m"])
@@ -107,7 +103,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, ends: bool = True) ->
         for b in batches:
             data, off = buffers(b.column(2))
             for i, j in slices(off):
-                w = windows(data, off[i : j + 1], min_words, ends)
+                w = windows(data, off[i : j + 1], min_words)
                 at = pa.array(w["doc"] + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(w["first"]), pa.array(w["last"]), _long(w["mark"]), _long(w["w1"]), _long(w["w2"])], ["_d", "_k", "_i", "_j", "_m", "_1", "_2"])
 
@@ -129,12 +125,11 @@ def _cut(text: bytes, gone: np.ndarray) -> tuple[bytes, int, int]:
     return b"\n".join(x for x, s in zip(lines, stay, strict=True) if s), len(lines), int((~stay).sum())
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, ends: bool = True) -> DataFrame:
-    """docs with the repeated runs cut out of `text`; with `counts`, also _lines and _removed; without `ends`, by the
-    windows from each line alone."""
-    gone = removals(docs, min_words, ends)
-    keyed = docs.select(*docs.columns, *row_key())
-    joined = keyed.join(gone, ["_d", "_k"], "left").select(*docs.columns, "gone")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+    """docs with the repeated runs cut out of `text`; with `counts`, also _lines and _removed."""
+    gone = removals(docs, min_words)
+    keyed = marked(docs)
+    joined = keyed.join(gone, ["_d", "_k"], "left").drop("_d", "_k")
     at = docs.columns.index("text")
     schema = docs.schema
 
@@ -158,7 +153,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = Fals
                     n, r = text.count(b"\n") + 1, 0
                 new.append(text), lines.append(n), removed.append(r)
             cols = [pa.array(new, pa.binary()).cast(pa.string()) if c == at else b.column(c) for c in range(b.num_columns - 1)]
-            names = list(b.schema.names[:-1])
+            names = list(schema.names[: len(cols)])
             if counts:
                 cols, names = [*cols, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "_lines", "_removed"]
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -171,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = Fals
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed (lines cut), kept_sha256 (of the text that is left; null: of nothing)."""
-    done = dedup_lines(spark_tables(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, ends=False)
+    done = dedup_lines(spark_tables(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return done.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -181,9 +176,10 @@ ORACLES = {
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS norm FROM l),
 b AS (SELECT doc_id, i, n, norm, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM w WHERE n > 0),
-win AS (SELECT a.doc_id, a.i, max(z.i) AS j, sum(z.n) AS total, string_agg(z.norm, chr(10) ORDER BY z.i) AS body
-        FROM b a JOIN b z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k AND a.k + 49 AND z.before - a.before < 50 GROUP BY a.doc_id, a.i HAVING sum(z.n) >= 50),
-r AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) AS place FROM win),
+ends AS (SELECT a.doc_id, a.k AS ka, z.k AS kz, a.i, z.i AS j FROM b a JOIN b z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k AND a.k + 49
+         WHERE z.before + z.n - a.before >= 50 AND (z.before - a.before < 50 OR z.before + z.n - a.before - a.n < 50)),
+win AS (SELECT e.doc_id, e.i, e.j, string_agg(y.norm, chr(10) ORDER BY y.k) AS body FROM ends e JOIN b y ON y.doc_id = e.doc_id AND y.k BETWEEN e.ka AND e.kz GROUP BY e.doc_id, e.i, e.j),
+r AS (SELECT doc_id, i, j, row_number() OVER (PARTITION BY body ORDER BY doc_id, i, j) AS place FROM win),
 g AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN r ON l.doc_id = r.doc_id AND r.place > 1 AND l.i BETWEEN r.i AND r.j),
 s AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS kept FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(s.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
