@@ -114,7 +114,8 @@ def slots(spark: SparkSession, table: list[tuple[int, int, int]], shard: int = S
                 part, left = mean - got, here - int(got.sum())
                 if left:
                     got = got + np.random.default_rng([seed, j]).multinomial(left, part / part.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), j)), pa.array(s), pa.array(got), pa.array(q)], ["_shard", "_s", "_c", "_q"])
+                some = np.flatnonzero(got) if j < shards - 1 else np.arange(len(s))  # the last shard evens out every source
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), j)), pa.array(s[some]), pa.array(got[some]), pa.array(q[some])], ["_shard", "_s", "_c", "_q"])
 
     drawn = spark.range(shards).mapInArrow(draw, "_shard long, _s long, _c long, _q long")
     to_here = F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -132,7 +133,7 @@ def slots(spark: SparkSession, table: list[tuple[int, int, int]], shard: int = S
                     key = mix((i // blocks).astype(U64) + mix(np.full(len(i), who[a]).astype(U64), seed % 97), 1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), j[a])), pa.array(np.full(len(i), who[a])), pa.array(i), pa.array(permute(i % blocks, blocks, key))], ["_shard", "_s", "_i", "_b"])
 
-    return counts.select("_shard", "_s", "_from", "_c").where("_c > 0").repartition("_shard", "_s").mapInArrow(place, "_shard long, _s long, _i long, _b long")
+    return counts.select("_shard", "_s", "_from", "_c").where("_c > 0").repartition(1 + shards // 16, "_shard", "_s").mapInArrow(place, "_shard long, _s long, _i long, _b long")
 
 
 def pieces(sized: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
