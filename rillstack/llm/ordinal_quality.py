@@ -146,10 +146,11 @@ def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 400, l1: float = 0.6,
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> OrdinalModel:
-    """Fit on at most `most` labelled rows of docs (doc_id, text), in the order of a hash of doc_id."""
+    """Fit on at most `most` labelled rows of docs (doc_id, text), one for each doc_id, in the order of a hash of doc_id."""
     graded = labels.select(F.col("doc_id").alias("_d"), grade().alias("_g")).where("_d is not null and _g is not null")
     few = graded.groupBy("_d").agg(F.min("_g").alias("_g")).orderBy(F.xxhash64("_d"), "_d").limit(most)
-    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(few), "_d").select("_g", "_t")
+    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(few), "_d")
+    rows = rows.groupBy("_d", "_g").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).select("_g", "_t")  # one text of a repeated doc_id
 
     def extract(batches):
         for b in batches:

@@ -155,9 +155,10 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60, depth:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple:
-    """Fit on at most `most` labelled rows of docs, in the order of a hash of doc_id."""
+    """Fit on at most `most` labelled rows of docs, one for each doc_id, in the order of a hash of doc_id."""
     few = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_d")).agg(F.min("quality").alias("_y")).orderBy(F.xxhash64("_d"), "_d").limit(most)
-    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(few), "_d").select("_d", "_y", "_t")
+    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(few), "_d")
+    rows = rows.groupBy("_d", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))  # one text of a repeated doc_id
 
     def run(batches):
         for b in batches:
