@@ -217,7 +217,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def pack(batches):
         for b in batches:
-            zip_ = zstandard.ZstdCompressor(level=1)
+            zip_ = zstandard.ZstdCompressor(level=5)
             z = [zip_.compress(x.as_buffer() if x.is_valid else b"") for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2), b.column(3)], ["doc_id", "_z", "_d", "_k"])
 
