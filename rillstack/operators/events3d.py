@@ -29,8 +29,8 @@ def roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return own
 
 
-def label_movie(labelled: DataFrame, cells: int = 100) -> DataFrame:
-    """t, y, x, event: frame labels (t, y, x, label) joined over time; an event is named by its least t * cells + label."""
+def label_movie(labelled: DataFrame, cells: int) -> DataFrame:
+    """t, y, x, event: frame labels (t, y, x, label) joined over time; an event is named by its least t * cells + label (cells: those of a frame)."""
     own = cut(labelled.withColumn("node", F.col("t") * cells + F.col("label")))
     later = own.select((F.col("t") - 1).alias("t"), "y", "x", F.col("node").alias("b"))
     links = own.join(later, ["t", "y", "x"]).select(F.col("node").alias("a"), "b").distinct()
@@ -56,10 +56,10 @@ def metrics(events: DataFrame, frames: DataFrame, min_duration: int = 3, min_are
     return own.join(flat, "event").withColumn("keep", keep)
 
 
-def common_jumps(frames: DataFrame, th: float = 1.0) -> DataFrame:
-    """t at which the mean of either half of the picture (y under 5, others) changes by over th standard deviations of its changes."""
+def common_jumps(frames: DataFrame, half: int, th: float = 1.0) -> DataFrame:
+    """t at which the mean of either half of the picture (y under half, others) changes by over th standard deviations of its changes."""
     sides = []
-    for side in ("y < 5", "y >= 5"):
+    for side in (f"y < {half}", f"y >= {half}"):
         mean = frames.where(side).groupBy("t").agg(F.avg("v").alias("v"))  # one row a frame
         step = mean.join(mean.select((F.col("t") - 1).alias("t"), F.col("v").alias("w")), "t").select("t", (F.col("w") - F.col("v")).alias("d"))
         sides.append(step.join(F.broadcast(step.agg(F.stddev_pop("d").alias("sd")))).where(F.abs("d") > th * F.col("sd")).select("t"))

@@ -59,20 +59,23 @@ def std_median(frames: DataFrame) -> DataFrame:
     return with_pixel(frames, m=median()).groupBy(*PIXEL).agg(F.sqrt(F.avg((F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))).alias("sd"))
 
 
-def bias(frames: DataFrame, th: float = 3.0, ns: float = 20.0) -> DataFrame:
-    """y, x, bias: median of the samples within th * ns of the median."""
-    return with_pixel(frames, m=median()).where(F.abs(F.col("v") - F.col("m")) <= th * ns).groupBy(*PIXEL).agg(median().alias("bias"))
+def bias(frames: DataFrame, th: float = 3.0, ns: float | DataFrame = 20.0) -> DataFrame:
+    """y, x, bias: median of the samples within th * ns of the median; ns: a number, or (y, x, mad)."""
+    own = with_pixel(frames, m=median())
+    own, ns = (own.join(ns, PIXEL), F.col("mad")) if isinstance(ns, DataFrame) else (own, F.lit(ns))
+    return own.where(F.abs(F.col("v") - F.col("m")) <= th * ns).groupBy(*PIXEL).agg(median().alias("bias"))
 
 
 def zscore(frames: DataFrame) -> DataFrame:
-    """t, y, x, z: (v - bias) / (mad + 1e-5), 0 where mad is not over 1e-5."""
-    own = frames.join(bias(frames), PIXEL).join(mad_std(frames), PIXEL)
+    """t, y, x, z: (v - bias) / (mad + 1e-5), 0 where mad is not over 1e-5; the bias is that within three mad of the pixel."""
+    mad = mad_std(frames)
+    own = frames.join(bias(frames, 3.0, mad), PIXEL).join(mad, PIXEL)
     return own.select("t", *PIXEL, F.when(F.col("mad") > 1e-5, (F.col("v") - F.col("bias")) / (F.col("mad") + 1e-5)).otherwise(0.0).alias("z"))
 
 
 def low_threshold(frames: DataFrame, p: float = 0.05) -> DataFrame:
     """y, x, th: minus the quantile of the samples at or under the median."""
-    return with_pixel(frames, m=median()).where("v <= m").groupBy(*PIXEL).agg((-quantile(p)).alias("th"))
+    return with_pixel(frames, m=median()).where("v <= m").groupBy(*PIXEL).agg((F.lit(0.0) - quantile(p)).alias("th"))
 
 
 def top_average(frames: DataFrame, p: float = 0.85) -> DataFrame:
@@ -96,6 +99,11 @@ def gain_and_offset(frames: DataFrame) -> DataFrame:
     return tile_statistics(frames).agg(s.alias("gain"), (-i / s).alias("offset_"))
 
 
+def extent(frames: DataFrame) -> tuple[int, int, int]:
+    """Length, height and width of the stack (t, y, x from 0), by one aggregate."""
+    return tuple(frames.agg(*(F.coalesce(F.max(c) + 1, F.lit(0)) for c in ("t", *PIXEL))).first())
+
+
 def neighbours(frames: DataFrame) -> DataFrame:
     """Each cell's value sent to the 3 x 3 cells around it: t, y, x, v of the sender, centre value c."""
     offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
@@ -108,12 +116,18 @@ def avg_filter_greater(frames: DataFrame, th: float) -> DataFrame:
     return neighbours(frames).groupBy("t", *PIXEL).agg(F.when(F.first("c") > th, F.avg(F.when(F.col("v") > th, F.col("v")))).otherwise(0.0).alias("v"))
 
 
-def tiles(frames: DataFrame, size: int = 4, overlap: int = 2, extent: int = 10) -> DataFrame:
+def origins(c: Column, n: int, size: int, overlap: int) -> Column:
+    """Origins of the tiles of 0 .. n - 1 that hold c: multiples of the step before n - size, and n - size."""
+    step, last = size - overlap, n - size
+    first = F.greatest(F.lit(0), F.ceil((c - size + 1) / step)).cast("long")
+    regular = F.filter(F.sequence(first, F.greatest(first, F.floor(c / step))), lambda o: (o * step < last) & (o * step <= c))
+    return F.concat(F.transform(regular, lambda o: o * step), F.when(c >= last, F.array(F.lit(last).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+
+
+def tiles(frames: DataFrame, size: int = 4, overlap: int = 2) -> DataFrame:
     """Cells with the origins (ty, tx) of all overlapping tiles that hold them; the last tile is at the edge."""
-    origins = [*range(0, extent - size, size - overlap), extent - size]
-    grid = F.array(*(F.lit(o).cast("long") for o in origins))
-    inside = lambda c: F.filter(grid, lambda o: (o <= F.col(c)) & (F.col(c) < o + size))
-    return frames.withColumn("ty", F.explode(inside("y"))).withColumn("tx", F.explode(inside("x")))
+    _, height, width = extent(frames)
+    return frames.withColumn("ty", F.explode(origins(F.col("y"), height, size, overlap))).withColumn("tx", F.explode(origins(F.col("x"), width, size, overlap)))
 
 
 def tile_weight(size: int = 4, sigma: float = 1.5) -> Column:

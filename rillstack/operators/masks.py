@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillstack.operators import frames as fr
+
 CELL = ["t", "y", "x"]
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
@@ -28,24 +30,24 @@ def _arrivals(mask: DataFrame, height: int, width: int) -> DataFrame:
     return sent.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy(*CELL).agg(F.count("*").alias("n"))
 
 
-def dilate(mask: DataFrame, height: int = 10, width: int = 10) -> DataFrame:
+def dilate(mask: DataFrame, height: int, width: int) -> DataFrame:
     return _arrivals(mask, height, width).select(*CELL)
 
 
-def erode(mask: DataFrame, height: int = 10, width: int = 10) -> DataFrame:
+def erode(mask: DataFrame, height: int, width: int) -> DataFrame:
     """Cells whose whole cross is on; what lies outside of the frame counts as off."""
     return _arrivals(mask, height, width).where(F.col("n") == len(CROSS)).select(*CELL)
 
 
-def opening(mask: DataFrame) -> DataFrame:
-    return dilate(erode(mask))
+def opening(mask: DataFrame, height: int, width: int) -> DataFrame:
+    return dilate(erode(mask, height, width), height, width)
 
 
-def closing(mask: DataFrame) -> DataFrame:
-    return erode(dilate(mask))
+def closing(mask: DataFrame, height: int, width: int) -> DataFrame:
+    return erode(dilate(mask, height, width), height, width)
 
 
-def label_frames(mask: DataFrame, width: int = 10) -> DataFrame:
+def label_frames(mask: DataFrame, width: int) -> DataFrame:
     """t, y, x, label: 4-connected components of each frame, named by their smallest y * width + x."""
 
     def label(cells: pd.DataFrame) -> pd.DataFrame:
@@ -89,14 +91,19 @@ def segment_states(labelled: DataFrame, times: DataFrame, last: int, min_overlap
     )
 
 
-def neighbour_signals(frames: DataFrame, length: int, stride: int = 2, nhood: int = 2, max_take: int = 10, extent: int = 10) -> DataFrame:
+def neighbour_signals(frames: DataFrame, length: int, stride: int = 2, nhood: int = 2, max_take: int = 10) -> DataFrame:
     """cy, cx, t, v: around each centre, the sum of the signals that correlate with the centre's, weighted by correlation.
 
     Correlations under 2 / sqrt(length) (or undefined ones) count as 0, the max_take largest stay; weights sum to 1, plus 1e-6 each.
     """
-    grid = F.array(*(F.lit(c).cast("long") for c in range(nhood, extent - nhood, stride)))
-    near = lambda c: F.filter(grid, lambda o: F.abs(o - F.col(c)) <= nhood)
-    patch = frames.withColumn("cy", F.explode(near("y"))).withColumn("cx", F.explode(near("x")))
+    _, height, width = fr.extent(frames)
+
+    def near(c, n):
+        """Centres, every stride from nhood to before n - nhood, that c is near to."""
+        first, last = F.ceil((F.greatest(F.col(c) - nhood, F.lit(nhood)) - nhood) / stride), F.floor((F.least(F.col(c) + nhood, F.lit(n - nhood - 1)) - nhood) / stride)
+        return F.when(first <= last, F.transform(F.sequence(first, F.greatest(first, last)), lambda o: o * stride + nhood))
+
+    patch = frames.withColumn("cy", F.explode(near("y", height))).withColumn("cx", F.explode(near("x", width)))
     centre = frames.select("t", F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("v").alias("c"))
     r = patch.join(centre, ["t", "cy", "cx"]).groupBy("cy", "cx", "y", "x").agg(F.corr("v", "c").alias("r"))
     r = r.withColumn("r", F.when(~F.isnan("r") & (F.col("r") >= 2 / length**0.5), F.col("r")).otherwise(0.0))

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillstack.operators import decompositions, events3d
+from rillstack.operators import frames as fr
 from rillstack.operators import masks as op
 from rillstack.sources.fixtures import FRAMES_SQL, frames, table
 
 
 def event_metrics_3d(spark, sf_dir):
     f = frames(spark, sf_dir)
-    events = events3d.label_movie(op.label_frames(op.binary_movie(f)))
+    _, height, width = fr.extent(f)
+    events = events3d.label_movie(op.label_frames(op.binary_movie(f), width), height * width)
     return events3d.metrics(events, f, 1, 3).withColumns({c: F.round(c, 6) for c in ("peak", "avg")})
 
 
 def jump_intersection(spark, sf_dir):
-    return events3d.common_jumps(frames(spark, sf_dir))
+    f = frames(spark, sf_dir)
+    return events3d.common_jumps(f, fr.extent(f)[1] // 2)
 
 
 def svht_rank(spark, sf_dir):

@@ -40,8 +40,8 @@ _add("dff", f", {_PX} SELECT t, y, x, round(CASE WHEN abs(f0) < 1e-5 THEN 0 ELSE
 _add("pixel_mad_std", f", {_PX} SELECT y, x, round(1.4826 * quantile_cont(abs(v - m), 0.5), 6) AS mad FROM fp GROUP BY y, x", op.mad_std)
 _add("pixel_std_median", f", {_PX} SELECT y, x, round(sqrt(avg((v - m) * (v - m))), 6) AS sd FROM fp GROUP BY y, x", op.std_median)
 _add("pixel_bias", f", {_PX} SELECT y, x, round(quantile_cont(v, 0.5), 6) AS bias FROM fp WHERE abs(v - m) <= 60 GROUP BY y, x", op.bias)
-_add("pixel_zscore", f", {_PX}, b AS (SELECT y, x, quantile_cont(v, 0.5) AS bias FROM fp WHERE abs(v - m) <= 60 GROUP BY y, x), s AS (SELECT y, x, 1.4826 * quantile_cont(abs(v - m), 0.5) AS mad FROM fp GROUP BY y, x) SELECT t, y, x, round(CASE WHEN mad > 1e-5 THEN (v - bias) / (mad + 1e-5) ELSE 0 END, 6) AS z FROM fr JOIN b USING (y, x) JOIN s USING (y, x)", op.zscore)
-_add("pixel_low_threshold", f", {_PX} SELECT y, x, round(-quantile_cont(v, 0.05), 6) AS th FROM fp WHERE v <= m GROUP BY y, x", op.low_threshold)
+_add("pixel_zscore", f", {_PX}, s AS (SELECT y, x, 1.4826 * quantile_cont(abs(v - m), 0.5) AS mad FROM fp GROUP BY y, x), b AS (SELECT y, x, quantile_cont(v, 0.5) AS bias FROM fp JOIN s USING (y, x) WHERE abs(v - m) <= 3 * mad GROUP BY y, x) SELECT t, y, x, round(CASE WHEN mad > 1e-5 THEN (v - bias) / (mad + 1e-5) ELSE 0 END, 6) AS z FROM fr JOIN b USING (y, x) JOIN s USING (y, x)", op.zscore)
+_add("pixel_low_threshold", f", {_PX} SELECT y, x, round(0.0 - quantile_cont(v, 0.05), 6) AS th FROM fp WHERE v <= m GROUP BY y, x", op.low_threshold)
 _add("top_average_projection", f", {_PX} SELECT y, x, round(avg(v), 6) AS top FROM fp WHERE v >= q GROUP BY y, x", op.top_average)
 _add("bin_frames_2x2x2", "SELECT CAST(t // 2 AS BIGINT) AS t, CAST(y // 2 AS BIGINT) AS y, CAST(x // 2 AS BIGINT) AS x, round(sum(v), 6) AS v FROM fr GROUP BY 1, 2, 3", op.bin_frames)
 _add("minute_max_maps", "SELECT CAST(t // 15 AS BIGINT) AS t, y, x, round(max(v), 6) AS v FROM fr GROUP BY 1, 2, 3", lambda f: f.groupBy(F.floor(F.col("t") / 15).alias("t"), "y", "x").agg(F.max("v").alias("v")))

@@ -30,21 +30,21 @@ def _cross(out: str, src: str, keep: str) -> str:
 
 
 _ERODE, _DILATE = "count(*) = 5", "count(*) > 0"
-_add("mask_opening", _movie(0.5) + _cross("e", "mv", _ERODE) + _cross("d", "e", _DILATE) + " SELECT * FROM d", lambda f: op.opening(op.binary_movie(f, 0.5)))
-_add("mask_closing", _movie(0.5) + _cross("d", "mv", _DILATE) + _cross("e", "d", _ERODE) + " SELECT * FROM e", lambda f: op.closing(op.binary_movie(f, 0.5)))
+_add("mask_opening", _movie(0.5) + _cross("e", "mv", _ERODE) + _cross("d", "e", _DILATE) + " SELECT * FROM d", lambda f: op.opening(op.binary_movie(f, 0.5), *fr.extent(f)[1:]))
+_add("mask_closing", _movie(0.5) + _cross("d", "mv", _DILATE) + _cross("e", "d", _ERODE) + " SELECT * FROM e", lambda f: op.closing(op.binary_movie(f, 0.5), *fr.extent(f)[1:]))
 
 _LABELS = _movie(0.9) + """, rc AS (SELECT t, y, x, y * 10 + x AS l FROM mv UNION SELECT n.t, n.y, n.x, rc.l FROM rc JOIN mv n ON n.t = rc.t AND abs(n.y - rc.y) + abs(n.x - rc.x) = 1),
  lb AS (SELECT t, y, x, min(l) AS label FROM rc GROUP BY t, y, x)"""
 _SEGMENTS = _LABELS + """, sg AS (SELECT lb.t, lb.label, count(*) AS size, count(p.t) AS overlap, count(q.t) AS next FROM lb
  LEFT JOIN mv p ON p.t = lb.t - 1 AND p.y = lb.y AND p.x = lb.x LEFT JOIN mv q ON q.t = lb.t + 1 AND q.y = lb.y AND q.x = lb.x GROUP BY 1, 2)"""
-_add("ccl_2d", _LABELS + " SELECT * FROM lb", lambda f: op.label_frames(op.binary_movie(f)))
-_add("prev_frame_overlap", _SEGMENTS + " SELECT * FROM sg", lambda f: op.segments(op.label_frames(op.binary_movie(f))))
+_add("ccl_2d", _LABELS + " SELECT * FROM lb", lambda f: op.label_frames(op.binary_movie(f), fr.extent(f)[2]))
+_add("prev_frame_overlap", _SEGMENTS + " SELECT * FROM sg", lambda f: op.segments(op.label_frames(op.binary_movie(f), fr.extent(f)[2])))
 _add(
     "segment_states",
     _SEGMENTS
     + """, st AS (SELECT t, count(*) AS total, count(*) FILTER (overlap < 1) AS inits, count(*) FILTER (next < 1 AND t < 89) AS stops, floor(avg(size) FILTER (overlap < 1)) AS a, avg(size - overlap) FILTER (overlap >= 1) AS g FROM sg GROUP BY t)
  SELECT t, coalesce(inits, 0) AS inits, coalesce(stops, 0) AS stops, greatest(coalesce(total - inits - stops, 0), 0) AS carryover, CAST(coalesce(a, 0) AS BIGINT) AS avg_new_size, round(coalesce(g, 0), 6) AS growth_rate FROM (SELECT DISTINCT t FROM fr) LEFT JOIN st USING (t)""",
-    lambda f: op.segment_states(op.label_frames(op.binary_movie(f)), f.select("t").distinct(), PERIODS - 1),
+    lambda f: op.segment_states(op.label_frames(op.binary_movie(f), fr.extent(f)[2]), f.select("t").distinct(), PERIODS - 1),
 )
 _add(
     "neighbour_correlation_signals",

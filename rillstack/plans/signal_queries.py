@@ -116,7 +116,7 @@ _add(
 def lower_envelope(s: DataFrame, w) -> DataFrame:
     """sig, t, v: straight lines through the ends, the local minima and the shoulders (maxima of the second difference)."""
     a, b, c = F.lag("v").over(w), F.col("v"), F.lead("v").over(w)
-    d = s.withColumn("v", F.round("v", 2)).withColumn("low", F.signum(c - b) > F.signum(b - a)).withColumn("d", c - 2 * b + a)
+    d = s.withColumn("low", F.signum(c - b) > F.signum(b - a)).withColumn("d", c - 2 * b + a)
     d = d.withColumn("high", F.signum(F.lead("d").over(w) - F.col("d")) < F.signum(F.col("d") - F.lag("d").over(w)))
     end = F.lag("t").over(w).isNull() | F.lead("t").over(w).isNull()
     knot = F.when(end | F.coalesce("low", F.lit(False)) | F.coalesce("high", F.lit(False)), F.struct("t", "v"))
@@ -128,10 +128,10 @@ def lower_envelope(s: DataFrame, w) -> DataFrame:
 
 _add(
     "lower_envelope",
-    """, r AS (SELECT sig, t, round(v, 2) AS v FROM sig), d AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS c, lead(v) OVER w - 2 * v + lag(v) OVER w AS d FROM r WINDOW w AS (PARTITION BY sig ORDER BY t)),
+    """, d AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS c, lead(v) OVER w - 2 * v + lag(v) OVER w AS d FROM sig WINDOW w AS (PARTITION BY sig ORDER BY t)),
  k AS (SELECT sig, t, v, a IS NULL OR c IS NULL OR coalesce(sign(c - v) > sign(v - a), false) OR coalesce(sign(lead(d) OVER w - d) < sign(d - lag(d) OVER w), false) AS knot FROM d WINDOW w AS (PARTITION BY sig ORDER BY t)),
  i AS (SELECT sig, t, max(t) FILTER (knot) OVER (PARTITION BY sig ORDER BY t) AS t0, min(t) FILTER (knot) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM k)
- SELECT i.sig, i.t, round(CASE WHEN t0 = t1 THEN p.v ELSE p.v + (q.v - p.v) * (i.t - t0) / (t1 - t0) END, 6) AS v FROM i JOIN r p ON p.sig = i.sig AND p.t = t0 JOIN r q ON q.sig = i.sig AND q.t = t1""",
+ SELECT i.sig, i.t, round(CASE WHEN t0 = t1 THEN p.v ELSE p.v + (q.v - p.v) * (i.t - t0) / (t1 - t0) END, 6) AS v FROM i JOIN sig p ON p.sig = i.sig AND p.t = t0 JOIN sig q ON q.sig = i.sig AND q.t = t1""",
     lower_envelope,
 )
 
