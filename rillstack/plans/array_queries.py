@@ -19,9 +19,9 @@ def _rounded(df, digits: int = 6):
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _signal(name: str, sql: str | None, build) -> None:
+def _signal(name: str, sql: str | None, build, digits: int = 6) -> None:
     """build: (signals, their window) -> DataFrame; doubles are rounded on both sides."""
-    QUERIES[name] = lambda spark, sf_dir: _rounded(build(signals(spark, sf_dir), Window.partitionBy("sig").orderBy("t")))
+    QUERIES[name] = lambda spark, sf_dir: _rounded(build(signals(spark, sf_dir), Window.partitionBy("sig").orderBy("t")), digits)
     if sql:
         ORACLES[name] = f"WITH {SIGNALS_SQL} {sql}"
 
@@ -120,7 +120,7 @@ _ROLLING = f"""{_MEDIAN20}, dt AS (SELECT sig, t, v - m AS v FROM sig JOIN m20 U
  pd AS (SELECT * FROM dt UNION ALL SELECT sig, -t, v FROM dt WHERE t BETWEEN 1 AND 144 UNION ALL SELECT sig, 1438 - t, v FROM dt WHERE t BETWEEN 575 AND 718),
  rc AS (SELECT sig, t, abs(v - quantile_cont(v, 0.5) OVER w) AS a, count(*) OVER w AS n FROM pd WINDOW w AS (PARTITION BY sig ORDER BY t ROWS BETWEEN 72 PRECEDING AND 71 FOLLOWING)),
  rs AS (SELECT sig, t, 1.4826 * quantile_cont(CASE WHEN n = 144 THEN a END, 0.5) OVER (PARTITION BY sig ORDER BY t ROWS BETWEEN 72 PRECEDING AND 71 FOLLOWING) AS sd FROM rc)"""
-_signal("rolling_sd", f", {_ROLLING} SELECT sig, t, round(sd, 5) AS sd FROM rs WHERE t BETWEEN 0 AND 719", lambda s, w: rolling_sd(s, w).withColumn("sd", F.round("sd", 5)))
+_signal("rolling_sd", f", {_ROLLING} SELECT sig, t, round(sd, 9) AS sd FROM rs WHERE t BETWEEN 0 AND 719", rolling_sd, 9)
 
 
 def rolling_bias(s, w, th: float = 3.0):
