@@ -105,3 +105,38 @@ def scale_pyramid(v: np.ndarray, levels: int, base: float = 1.5, smoother: Calla
         rows.append(rest - smooth)
         rest = smooth
     return np.array([*rows, rest])
+
+
+def runs_of(on: np.ndarray, least: int) -> np.ndarray:
+    """on without its runs of fewer than `least` samples."""
+    edge = np.diff(np.concatenate(([0], on.astype(np.int8), [0])))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    keep = last - first >= least
+    out = np.zeros(len(on) + 1, np.int64)
+    np.add.at(out, first[keep], 1)
+    np.add.at(out, last[keep], -1)
+    return np.cumsum(out[:-1]) > 0
+
+
+def median_spline(v: np.ndarray, s: float, size: int = 3) -> np.ndarray:
+    """The spline of the running median (mirrored ends, edges repeated)."""
+    half = size // 2
+    padded = np.concatenate((v[:half][::-1], v, v[len(v) - (size - 1 - half) :][::-1]))
+    return l2_spline(np.median(np.lib.stride_tricks.sliding_window_view(padded, size), 1), s)
+
+
+def reconstruct(v: np.ndarray, on: np.ndarray, s: float = 1.0, least: int = 3, rounds: int = 10) -> np.ndarray:
+    """The transients of v (in noise deviations) that the labels mark: smoothed under a mask that grows by a sample on each side where the
+    smooth is over 1.25 times its positive mean, and shrinks where it is under half of it."""
+    if not runs_of(on, least).any():
+        return np.zeros(len(v))
+    mask = on.copy()
+    rec = median_spline(median_spline(v, s) * (v > 0), s)
+    for _ in range(rounds):
+        wide = np.concatenate(([False], mask, [False]))
+        if (rec > 0).any():
+            mean = rec[rec > 0].mean()
+            grown, shrunk = wide[:-2] | wide[1:-1] | wide[2:], wide[:-2] & wide[1:-1] & wide[2:]
+            mask = np.where(rec > 1.25 * mean, grown, np.where(rec < 0.5 * mean, shrunk, mask))
+        rec = np.maximum(median_spline(v * mask, s), 0)
+    return rec

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -262,6 +263,29 @@ _signal(
     f", c AS (SELECT sig, quantile_cont(v, 0.5) AS c FROM sig GROUP BY sig), d AS (SELECT sig, t, v - c AS v FROM sig JOIN c USING (sig)), mu AS (SELECT sig, least(quantile_cont(v, 0.5), 0) AS mu FROM d GROUP BY sig), th AS (SELECT sig, any_value(mu) - quantile_cont(v, 0.025) AS th FROM d JOIN mu USING (sig) WHERE v <= mu GROUP BY sig), {_spline_sql('d', 2.0)} SELECT sig, t FROM z JOIN th USING (sig) WHERE z.v >= th",
     percentile_label,
 )
+
+
+def transients(s, w, th: float = 1.5, low: float = 0.025, tau: float = 2.0):
+    """sig, t, v: the signals' transients. Bias (the median within th rolling deviations of the median) is taken off, the rest is divided
+    by the rolling deviations, labelled by percentile and put together again from the labelled samples."""
+    noise = rolling_sd(s, w)
+    own = Window.partitionBy("sig")
+    d = s.join(noise, ["sig", "t"]).withColumn("sd", F.greatest("sd", F.lit(1e-9))).withColumn("c", F.col("v") - F.expr("percentile(v, 0.5)").over(own))
+    d = d.withColumn("near", F.when(F.abs("c") <= th * F.col("sd"), F.col("v")))
+    bias = F.coalesce(F.expr("percentile(near, 0.5)").over(own), F.lit(0.0))
+    d = d.withColumn("v", (F.col("v") - bias) / F.col("sd")).select("sig", "t", "v", "sd")
+
+    def run(x):
+        x = x.sort_values("t")
+        v = x["v"].to_numpy()
+        mu = min(np.median(v), 0)
+        on = smoothers.l2_spline(v, tau) >= mu - np.quantile(v[v <= mu], low)
+        return x.assign(v=smoothers.reconstruct(v, on) * x["sd"].to_numpy())[["sig", "t", "v"]]
+
+    return d.groupBy("sig").applyInPandas(run, "sig string, t long, v double")
+
+
+_signal("transient_pipeline", None, transients)
 _signal("l1_smooth", None, lambda s, w: smoothers.per_signal(s, lambda v: smoothers.l1_spline(v, 10.0)))
 _signal("total_variation_smooth", None, lambda s, w: smoothers.per_signal(s, lambda v: smoothers.total_variation(v, 50.0)))
 _signal("asymmetric_baseline", None, lambda s, w: smoothers.per_signal(s, smoothers.asymmetric_baseline))
