@@ -52,7 +52,8 @@ def l2_spline(v: np.ndarray, s: float, weights: np.ndarray | None = None, rounds
 
 def l1_spline(v: np.ndarray, s: float, rounds: int = 40, mu: float = 1.0) -> np.ndarray:
     """The same penalty with absolute errors, by split Bregman steps: smooth, shrink what is left, add up the errors."""
-    scale = np.median(np.abs(v - np.median(v))) or 1.0
+    far = np.abs(v - np.median(v))
+    scale = max(np.median(far), far.mean() / 10) or 1.0  # most samples may be equal
     v, g = v / scale, gains(len(v), s)
     d, b = np.zeros_like(v), np.zeros_like(v)
     for _ in range(rounds):
