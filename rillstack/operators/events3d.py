@@ -64,3 +64,23 @@ def common_jumps(frames: DataFrame, half: int, th: float = 1.0) -> DataFrame:
         step = mean.join(mean.select((F.col("t") - 1).alias("t"), F.col("v").alias("w")), "t").select("t", (F.col("w") - F.col("v")).alias("d"))
         sides.append(step.join(F.broadcast(step.agg(F.stddev_pop("d").alias("sd")))).where(F.abs("d") > th * F.col("sd")).select("t"))
     return sides[0].intersect(sides[1])
+
+
+def ages(segments: DataFrame, links: DataFrame, last: int, min_overlap: int = 4) -> DataFrame:
+    """t, label, age, class of segments (t, label, node, overlap, next). A segment that shares too few cells with the frame before is 1 frame
+    old, others are a frame older than the oldest one that they share cells with (links a -> b). class: 1 new, 2 continuing, 3 ending.
+
+    As a link is one frame long, the age follows from the first frame that links reach; a round also takes what the ancestor found so far has reached."""
+    new = F.col("overlap") < min_overlap / 4
+    nodes = segments.withColumn("class", F.when((F.col("next") < min_overlap / 4) & (F.col("t") < last), 3).when(new, 1).otherwise(2)).withColumn("new", new)
+    nodes = cut(nodes.select("t", "label", "node", "class", "new"))
+    back = cut(links.join(nodes.where(~F.col("new")).select(F.col("node").alias("b")), "b").select("a", "b"))
+    own = cut(nodes.select("node", F.struct("t", "node").alias("far")))
+    while True:
+        near = back.join(own.select(F.col("node").alias("a"), "far"), "a").groupBy(F.col("b").alias("node")).agg(F.min("far").alias("near"))
+        step = own.join(near, "node", "left").select("node", F.least("far", "near").alias("next"), F.col("far").alias("was"))
+        jump = own.select(F.col("node").alias("at"), F.col("far").alias("jump"))
+        new_own = cut(step.join(jump, F.col("next.node") == F.col("at")).select("node", F.least("next", "jump").alias("far"), "was"))
+        own = new_own.drop("was")
+        if new_own.where("far < was").isEmpty():
+            return nodes.join(own, "node").select("t", "label", (F.col("t") - F.col("far.t") + 1).alias("age"), "class")
