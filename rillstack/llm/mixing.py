@@ -2,8 +2,10 @@
 
 The words of each source, its documents in order, are packed into blocks of `BLOCK` words. The mix consists of output
 shards of `SHARD` block slots; each shard draws its counts by source from a multinomial distribution (seeded by shard,
-the whole part of the expected counts taken as it is), and the last shard evens out what the draws left over, so that
-each source gets its quota of blocks. Slot i of a source is mapped to block `perm(i mod n)`, with a pseudorandom
+the whole part of the expected counts taken as it is), and what the draws left over of the quotas is packed into last shards, so that
+each source gets its quota of blocks. The draw goes down a tree of sources, `FAN` children a node: a node's slots are
+dealt to its children by their quotas, so a shard costs its slots and one node's children each, however many sources
+there are. Slot i of a source is mapped to block `perm(i mod n)`, with a pseudorandom
 permutation of the source's n block numbers for each pass `i div n`; slots and blocks are then joined by index. A
 block is thus used once in each pass, and never more than three times.
 
@@ -11,8 +13,9 @@ Targets: sources in code point order, null last, weigh 1, 2, 3, repeating, and s
 weight; a target stops at three times its source's words, and the excess is shared anew by weight.
 
 Where a document stands in its source comes from sums over chunks of doc_id and within each chunk, so a source that
-holds a third of all rows is spread over many tasks. The join is by (source, block). Only the table of sources (a row
-each, `MAX_SOURCES` at most) is sent to all tasks.
+holds a third of all rows is spread over many tasks; so do the sums over shards. The join is by (source, block). The
+table of sources stays in Spark: it is sent to all tasks if its bytes are counted to be `BROADCAST_BYTES` at most, and
+joined by source and a salt otherwise.
 
 Defined cases: a null or empty text has size 0 and nothing taken; a null source is a source; rows equal in doc_id,
 source and text share what their words get (the first of them one more where it does not divide); sources without
@@ -31,8 +34,10 @@ from rillstack.llm.text import U64, buffers, mix, row_key, spark_tables, stash,
 BLOCK = 128
 SHARD = 4096
 SEED = 20240117
-MAX_SOURCES = 1_000_000
+FAN = 256
 CHUNK = 256
+BROADCAST_BYTES = 16 << 20
+SALTS = 32
 _SPACE = word_table("space")
 
 
@@ -59,17 +64,29 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").alias("_t"), "doc_id", "source", *row_key()).mapInArrow(run, f"doc_id {kinds['doc_id']}, source {kinds['source']}, _d long, _k long, size long")
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """Rows with _s, their number in the order of source, null last: counted in each range of the order, then over the ranges."""
+    put = stash(names.orderBy(F.asc_nulls_last("source")).withColumn("_i", F.monotonically_increasing_id()))
+    ranges = put.groupBy(F.shiftright("_i", 33).alias("_range")).agg(F.count("*").alias("_rows"))  # a row for each shuffle partition
+    ranges = ranges.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    return put.withColumn("_range", F.shiftright("_i", 33)).join(F.broadcast(ranges), "_range").withColumn("_s", F.col("_before") + F.col("_i").bitwiseAND((1 << 33) - 1)).drop("_range", "_before", "_i")
+
+
+def _level(weighed: DataFrame) -> float:
+    """The target of weight 1: raised until the sources that stop at three times their size are the same as before."""
+    level, stopped = 0.0, -1
+    while True:
+        stops = 3 * F.col("source_size") < F.lit(level) * F.col("_w")
+        a = weighed.agg(F.sum("source_size"), F.sum(F.when(stops, 3 * F.col("source_size")).otherwise(0)), F.sum(F.when(stops, 0).otherwise(F.col("_w"))), F.count(F.when(stops, 1))).first()
+        if not a[0] or a[3] == stopped:
+            return level
+        level, stopped = (a[0] - a[1]) / a[2], a[3]
+
+
 def targets(sized: DataFrame, block: int = BLOCK) -> DataFrame:
     """source, _s (its number in code point order), source_size, target, _n (blocks), _q (quota of blocks)."""
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name, everything = Window.orderBy(F.asc_nulls_last("source")), Window.partitionBy()
-    s = s.withColumn("_s", F.row_number().over(by_name) - 1).withColumn("_w", F.col("_s") % 3 + 1)
-    filling = Window.orderBy(3 * F.col("source_size") / F.col("_w"), "_s")
-    before = F.coalesce(F.sum(3 * F.col("source_size")).over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("_w").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    s = s.withColumn("_level", (F.sum("source_size").over(everything) - before) / rest)
-    level = F.max(F.when(3 * F.col("source_size") >= F.col("_level") * F.col("_w"), F.col("_level"))).over(everything)
-    s = s.withColumn("target", F.least(3.0 * F.col("source_size"), F.coalesce(level, F.lit(0.0)) * F.col("_w")))
+    s = stash(_numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("_w", F.col("_s") % 3 + 1))
+    s = s.withColumn("target", F.least(3.0 * F.col("source_size"), F.lit(_level(s)) * F.col("_w")))
     s = s.withColumn("_n", F.ceil(F.col("source_size") / block))
     quota = F.when(F.col("source_size") > 0, F.least(3 * F.col("_n"), F.round(F.col("target") * F.col("_n") / F.col("source_size")).cast("long"))).otherwise(0)
     return s.select("source", "_s", "source_size", "target", "_n", quota.cast("long").alias("_q"))
@@ -94,52 +111,90 @@ def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def slots(spark: SparkSession, table: list[tuple[int, int, int]], shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """_shard, _s, _i (the source's slot), _b (block): the drawn mix. table: (source number, blocks, quota)."""
-    table = [x for x in table if x[2] > 0]
-    s, n, q = (np.array([x[k] for x in table], np.int64) for k in range(3))
-    total = int(q.sum())
-    shards = max(1, -(-total // shard))
-    shared = spark.sparkContext.broadcast((s, n, q))
+def _draw(level: int, seed: int):
+    """Rows (_shard, _s, _c, _kids) -> each child's part of the node's slots, in mapInArrow."""
 
-    def draw(batches):
-        s, _, q = shared.value
+    def run(batches):
         for b in batches:
-            for j in b.column(0).to_pylist():
-                if not len(q):
-                    continue
-                here = min(shard, total - j * shard)
-                mean = here * q / total
-                got = np.floor(mean).astype(np.int64)
-                part, left = mean - got, here - int(got.sum())
+            j, node, c = (b.column(k).to_numpy() for k in range(3))
+            off = np.concatenate(([0], np.cumsum(b.column(3).value_lengths().to_numpy())))
+            kid, q, n = (x.to_numpy() for x in b.column(3).flatten().flatten())
+            at, got = [], []
+            for a in range(len(j)):
+                quota = q[off[a] : off[a + 1]]
+                mine, part = np.divmod(c[a] * quota, quota.sum())
+                left = int(c[a] - mine.sum())
                 if left:
-                    got = got + np.random.default_rng([seed, j]).multinomial(left, part / part.sum())
-                some = np.flatnonzero(got) if j < shards - 1 else np.arange(len(s))  # the last shard evens out every source
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), j)), pa.array(s[some]), pa.array(got[some]), pa.array(q[some])], ["_shard", "_s", "_c", "_q"])
-
-    drawn = spark.range(shards).mapInArrow(draw, "_shard long, _s long, _c long, _q long")
-    to_here = F.coalesce(F.sum("_c").over(Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+                    mine = mine + np.random.default_rng([seed, level, int(node[a]), int(j[a])]).multinomial(left, part / part.sum())
+                some = np.flatnonzero(mine)
+                at.append(some + off[a])
+                got.append(mine[some])
+            if at:
+                shard = np.repeat(j, [len(x) for x in at])
+                at = np.concatenate(at)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(kid[at]), pa.array(np.concatenate(got)), pa.array(q[at]), pa.array(n[at])], ["_shard", "_s", "_c", "_q", "_n"])
+
+    return run
+
+
+def slots(sources: DataFrame, shard: int = SHARD, seed: int = SEED, fan: int = FAN) -> DataFrame:
+    """_shard, _s, _i (the source's slot), _b (block): the drawn mix. sources: _s, _n (blocks), _q (quota)."""
+    spark = sources.sparkSession
+    some = sources.where("_q > 0").select("_s", "_n", "_q")
+    total, last = (x or 0 for x in some.agg(F.sum("_q"), F.max("_s")).first())
+    shards, depth = max(1, -(-total // shard)), 1
+    while fan**depth <= last:
+        depth += 1
+    drawn = spark.range(shards - 1).select(F.col("id").alias("_shard"), F.lit(0).cast("long").alias("_s"), F.lit(shard).cast("long").alias("_c"))
+    for level in reversed(range(depth)):
+        kids = some.groupBy(F.floor(F.col("_s") / fan**level).alias("kid")).agg(F.sum("_q").alias("q"), F.sum("_n").alias("n"))
+        kids = kids.groupBy(F.floor(F.col("kid") / fan).alias("_s")).agg(F.sort_array(F.collect_list(F.struct("kid", "q", "n"))).alias("_kids"))
+        kids = F.broadcast(kids) if level == depth - 1 else kids.hint("merge")  # the root: one row of `fan` children at most
+        drawn = drawn.join(kids, "_s").select("_shard", "_s", "_c", "_kids").mapInArrow(_draw(level, seed), "_shard long, _s long, _c long, _q long, _n long")
+    drawn = stash(drawn.withColumn("_chunk", F.floor(F.col("_shard") / CHUNK)))
+    chunks = drawn.groupBy("_s", "_chunk").agg(F.sum("_c").alias("_sum"))
+    start = F.sum("_sum").over(Window.partitionBy("_s").orderBy("_chunk")) - F.col("_sum")
+    within = F.sum("_c").over(Window.partitionBy("_s", "_chunk").orderBy("_shard")) - F.col("_c")
+    at = drawn.withColumn("_within", within).join(chunks.select("_s", "_chunk", start.alias("_start")).hint("merge"), ["_s", "_chunk"]).withColumn("_from", F.col("_start") + F.col("_within"))
     open_ = F.greatest(F.col("_q") - F.col("_from"), F.lit(0))
-    counts = drawn.withColumn("_from", to_here).withColumn("_c", F.when(F.col("_shard") == shards - 1, open_).otherwise(F.least("_c", open_)))
+    counts = at.select("_shard", "_s", "_n", "_from", F.least("_c", open_).alias("_c"))
+    used = some.join(drawn.groupBy("_s").agg(F.sum("_c").alias("_used")), "_s", "left").withColumn("_from", F.coalesce("_used", F.lit(0)))
+    rest = stash(used.select("_s", "_n", "_from", open_.alias("_c")).where("_c > 0").withColumn("_chunk", F.floor(F.col("_s") / CHUNK)))
+    chunks = rest.groupBy("_chunk").agg(F.sum("_c").alias("_sum"))
+    start = F.sum("_sum").over(Window.orderBy("_chunk")) - F.col("_sum")
+    within = F.sum("_c").over(Window.partitionBy("_chunk").orderBy("_s")) - F.col("_c")
+    rest = rest.withColumn("_within", within).join(chunks.select("_chunk", start.alias("_start")).hint("merge"), "_chunk").withColumn("_at", F.col("_start") + F.col("_within")).withColumn("_end", F.col("_at") + F.col("_c"))
+    rest = rest.withColumn("_last", F.explode(F.sequence(F.floor(F.col("_at") / shard), F.floor((F.col("_end") - 1) / shard))))
+    lo, hi = F.greatest("_at", F.col("_last") * shard), F.least("_end", (F.col("_last") + 1) * shard)
+    counts = counts.union(rest.select(F.col("_last") + (shards - 1), "_s", "_n", F.col("_from") + lo - F.col("_at"), hi - lo))
 
     def place(batches):
-        s, n, _ = shared.value
         for b in batches:
-            j, who, first, c = (b.column(k).to_numpy() for k in range(4))
+            j, who, n, first, c = (b.column(k).to_numpy() for k in range(5))
             for a in range(len(j)):
                 for lo in range(0, int(c[a]), 1 << 18):
                     i = first[a] + np.arange(lo, min(lo + (1 << 18), int(c[a])))
-                    blocks = np.full(len(i), n[np.searchsorted(s, who[a])])
+                    blocks = np.full(len(i), n[a])
                     key = mix((i // blocks).astype(U64) + mix(np.full(len(i), who[a]).astype(U64), seed % 97), 1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), j[a])), pa.array(np.full(len(i), who[a])), pa.array(i), pa.array(permute(i % blocks, blocks, key))], ["_shard", "_s", "_i", "_b"])
 
-    return counts.select("_shard", "_s", "_from", "_c").where("_c > 0").repartition(1 + shards // 16, "_shard", "_s").mapInArrow(place, "_shard long, _s long, _i long, _b long")
+    return counts.where("_c > 0").repartition(1 + shards // 16, "_shard", "_s").mapInArrow(place, "_shard long, _s long, _i long, _b long")
+
+
+def with_sources(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """The sized rows with _s, source_size and target of their source."""
+    names = sources.select(F.col("source").alias("_source"), "_s", "source_size", "target")
+    wide = sources.agg(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if wide <= BROADCAST_BYTES:
+        return sized.join(F.broadcast(names), same).drop("_source")
+    salted = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    return sized.join(salted, same & (F.pmod("_k", F.lit(SALTS)) == F.col("_salt"))).drop("_source", "_salt")
 
 
-def pieces(sized: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
+def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     """_s, _b, _d, _k, first_word, n_words: which words of which documents each block holds. Rows alike count as one of their total length."""
-    one = sized.join(F.broadcast(sources.select(F.col("source").alias("_source"), "_s")), F.col("source").eqNullSafe(F.col("_source"))).where("size > 0")
-    one = one.groupBy("_s", "_d", "_k").agg(F.sum("size").alias("size")).withColumn("_chunk", F.floor(F.col("_d") / CHUNK))
+    one = rows.where("size > 0").groupBy("_s", "_d", "_k").agg(F.sum("size").alias("size")).withColumn("_chunk", F.floor(F.col("_d") / CHUNK))
     chunks = one.groupBy("_s", "_chunk").agg(F.sum("size").alias("_sum"))
     start = F.sum("_sum").over(Window.partitionBy("_s").orderBy("_chunk")) - F.col("_sum")
     within = F.sum("size").over(Window.partitionBy("_s", "_chunk").orderBy("_d", "_k")) - F.col("size")
@@ -149,22 +204,18 @@ def pieces(sized: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFram
     return parts.select("_s", "_b", "_d", "_k", (lo - F.col("_from")).alias("first_word"), (hi - lo).alias("n_words"))
 
 
-def mix_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix (shard, slot, block, document piece), the sized rows, and the sources with their targets."""
+def mix_blocks(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The mix (shard, slot, block, document piece), and the sized rows with their sources' numbers, sizes and targets."""
     sized = stash(sizes(docs))
     sources = stash(targets(sized, block))
-    if sources.count() > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: their table is sent to all tasks")
-    table = sorted((r["_s"], r["_n"], r["_q"]) for r in sources.select("_s", "_n", "_q").toLocalIterator())
-    drawn = slots(docs.sparkSession, table, shard, seed)
-    return drawn.join(pieces(sized, sources, block).hint("merge"), ["_s", "_b"]), sized, sources
+    rows = with_sources(sized, sources)
+    return slots(sources, shard, seed).join(pieces(rows, block).hint("merge"), ["_s", "_b"]), rows
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: what the mix takes of each row."""
-    mixed, sized, sources = mix_blocks(docs)
+    mixed, rows = mix_blocks(docs)
     got = mixed.groupBy("_s", "_d", "_k").agg(F.sum("n_words").alias("_taken"))
-    rows = sized.join(F.broadcast(sources.select(F.col("source").alias("_source"), "_s", "source_size", "target")), F.col("source").eqNullSafe(F.col("_source")))
     rows = rows.groupBy("doc_id", "_s", "_d", "_k", "size", "source_size", "target").agg(F.count("*").alias("_m")).join(got, ["_s", "_d", "_k"], "left")
     share = F.coalesce("_taken", F.lit(0))
     each = rows.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))

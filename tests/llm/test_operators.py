@@ -1,5 +1,6 @@
 """The training-data operators on small tables with nulls, empty and repeated rows, clashing columns, and against brute force."""
 
+import collections
 import dataclasses
 import glob
 import hashlib
@@ -395,6 +396,23 @@ def test_mixing_targets(spark):
         assert abs(sum(got[i].taken for i, _, s in rows if s == n) - target[n]) <= 0.05 * target[n] + 128
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    """A tree of several levels, the salted join, and several shards: every source gets its quota, no block more than its pass."""
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    q = [(s, 1 + s % 4, (s * 7) % 13 + 1 if s % 3 else 0) for s in range(300)]
+    got = mixing.slots(spark.createDataFrame(q, "_s long, _n long, _q long"), shard=64, fan=8).collect()
+    total = sum(x for _, _, x in q)
+    assert len(got) == total and min(r._shard for r in got) == 0 and max(r._shard for r in got) >= -(-total // 64) - 1
+    for s, n, quota in q:
+        mine = [r for r in got if r._s == s]
+        assert sorted(r._i for r in mine) == list(range(quota))
+        for lo in range(0, quota, n):
+            turn = [r._b for r in mine if lo <= r._i < lo + n]
+            assert len(set(turn)) == len(turn) and set(turn) <= set(range(n))
+    assert max(collections.Counter(r._shard for r in got).values()) <= 64
+    test_mixing_targets(spark)
+
+
 def test_line_dedup_with_clashing_columns(spark):
     rows = spark.createDataFrame([(1, LINE), (2, LINE)], "doc_id long, text string").select(F.lit(1).alias("_d"), F.lit(2).alias("gone"), "doc_id", F.lit(3).alias("_c1"), "text")
     done = line_dedup.dedup_lines(rows)
