@@ -22,11 +22,23 @@ def length(s: DataFrame) -> int:
     return s.agg(F.max("t") + 1).first()[0] or 0
 
 
-def mirrored(s: DataFrame, n: int, reach: int) -> DataFrame:
-    """sig, t, v with `reach` samples more on each side, mirrored with the edges repeated."""
-    own = s.select("sig", "t", "v")
-    head = own.where(F.col("t") < reach).withColumn("t", -1 - F.col("t"))
-    return own.union(head).union(own.where(F.col("t") >= n - reach).withColumn("t", 2 * n - 1 - F.col("t")))
+def own_length() -> Column:
+    """Of each signal by itself: its last t and one."""
+    return F.max("t").over(Window.partitionBy("sig")) + 1
+
+
+def mirrored(s: DataFrame, reach: int) -> DataFrame:
+    """sig, t, v, n_ (the signal's own length) with `reach` samples more on each side, mirrored with the edges repeated, over and over
+    where the signal is shorter."""
+    own = s.select("sig", "t", "v", own_length().alias("n_"))
+    turns = F.floor(reach / (2 * F.col("n_"))) + 1
+    at = F.flatten(F.transform(F.sequence(-turns, turns), lambda k: F.array(2 * k * F.col("n_") + F.col("t"), 2 * k * F.col("n_") - 1 - F.col("t"))))
+    return own.select("sig", F.explode(F.filter(at, lambda t: (t >= -reach) & (t < F.col("n_") + reach))).alias("t"), "v", "n_")
+
+
+def within(padded: DataFrame) -> DataFrame:
+    """sig, t, v of the samples that are not padding."""
+    return padded.where((F.col("t") >= 0) & (F.col("t") < F.col("n_"))).select("sig", "t", "v")
 
 
 def gauss_weights(sigma: float) -> list[float]:
@@ -36,13 +48,13 @@ def gauss_weights(sigma: float) -> list[float]:
     return [x / math.fsum(raw) for x in raw]
 
 
-def gaussian(s: DataFrame, sigma: float, n: int) -> DataFrame:
+def gaussian(s: DataFrame, sigma: float) -> DataFrame:
     """sig, t, v: mean under normal weights, ends mirrored."""
     weights = gauss_weights(sigma)
     reach = len(weights) // 2
     near = F.collect_list("v").over(by_time().rowsBetween(-reach, reach))
     v = F.aggregate(F.zip_with(near, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return mirrored(s, n, reach).withColumn("v", v).where(F.col("t").between(0, n - 1))
+    return within(mirrored(s, reach).withColumn("v", v))
 
 
 def run_min(s: DataFrame, value: Column, out: str, size: int, n: int, overlap: int | None = None) -> DataFrame:
@@ -112,7 +124,7 @@ def filtered_minima(s: DataFrame, line, rank_filter, size: int = 5, smooth: floa
     deviations of its flattened running minimum; the trend (sig, k, b of `line`) is added again."""
     n = length(s)
     ns = s.withColumn("d", F.lead("v").over(by_time()) - F.col("v")).groupBy("sig").agg((F.stddev_pop("d") / 2**0.5).alias("ns"))
-    g = gaussian(rank_filter(s, by_time(), size, size // 2, n), size / 2, n)
+    g = gaussian(rank_filter(s, by_time(), size, size // 2), size / 2)
     own = g.join(line, "sig").join(ns, "sig").withColumn("trend", F.col("k") * F.col("t") + F.col("b")).withColumn("v", F.col("v") - F.col("trend")).drop("k", "b")
     for t, part in ((0, F.col("t") < 2 * wide), (n - 1, F.col("t") >= n - 2 * wide)):
         q = F.percentile(F.when(part, F.col("v")), F.lit(0.25)).over(Window.partitionBy("sig"))

@@ -116,12 +116,12 @@ def avg_filter_greater(frames: DataFrame, th: float) -> DataFrame:
     return neighbours(frames).groupBy("t", *PIXEL).agg(F.when(F.first("c") > th, F.avg(F.when(F.col("v") > th, F.col("v")))).otherwise(0.0).alias("v"))
 
 
-def origins(c: Column, n: int, size: int, overlap: int) -> Column:
-    """Origins of the tiles of 0 .. n - 1 that hold c: multiples of the step before n - size, and n - size."""
-    step, last = size - overlap, n - size
+def origins(c: Column, n: int | Column, size: int, overlap: int) -> Column:
+    """Origins of the tiles of 0 .. n - 1 that hold c: multiples of the step before n - size, and n - size (0 if n is smaller)."""
+    step, last = size - overlap, F.greatest((F.lit(n) if isinstance(n, int) else n) - size, F.lit(0)).cast("long")
     first = F.greatest(F.lit(0), F.ceil((c - size + 1) / step)).cast("long")
     regular = F.filter(F.sequence(first, F.greatest(first, F.floor(c / step))), lambda o: (o * step < last) & (o * step <= c))
-    return F.concat(F.transform(regular, lambda o: o * step), F.when(c >= last, F.array(F.lit(last).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    return F.concat(F.transform(regular, lambda o: o * step), F.when(c >= last, F.array(last)).otherwise(F.array().cast("array<bigint>")))
 
 
 def tiles(frames: DataFrame, size: int = 4, overlap: int = 2) -> DataFrame:

@@ -107,7 +107,7 @@ def rolling_sd(s, w, share: int = 10):
     windows of a fifth of the signal, mirrored at its ends without repeating them."""
     n = s.agg(F.max("t") + 1).first()[0] or 0
     hw = n // share
-    d = s.join(rank_filter(s, w, 20, 10, n).withColumnRenamed("v", "m"), ["sig", "t"]).select("sig", "t", (F.col("v") - F.col("m")).alias("v"))
+    d = s.join(rank_filter(s, w, 20, 10).withColumnRenamed("v", "m"), ["sig", "t"]).select("sig", "t", (F.col("v") - F.col("m")).alias("v"))
     head = d.where(F.col("t").between(1, 2 * hw)).withColumn("t", -F.col("t"))
     tail = d.where(F.col("t").between(n - 1 - 2 * hw, n - 2)).withColumn("t", 2 * n - 2 - F.col("t"))
     own = w.rowsBetween(-hw, hw - 1)
@@ -129,9 +129,9 @@ def rolling_bias(s, w, th: float = 3.0):
     that median in place of the others."""
     n = s.agg(F.max("t") + 1).first()[0] or 0
     size = n // 10
-    near = s.join(rank_filter(s, w, size // 2, size // 4, n).withColumnRenamed("v", "m"), ["sig", "t"]).join(rolling_sd(s, w), ["sig", "t"])
+    near = s.join(rank_filter(s, w, size // 2, size // 4).withColumnRenamed("v", "m"), ["sig", "t"]).join(rolling_sd(s, w), ["sig", "t"])
     near = near.select("sig", "t", F.when(F.abs(F.col("v") - F.col("m")) <= th * F.col("sd"), F.col("v")).otherwise(F.col("m")).alias("v"))
-    return rank_filter(near, w, size, size // 2, n)
+    return rank_filter(near, w, size, size // 2)
 
 
 _signal(
@@ -193,11 +193,12 @@ _signal(
 
 
 def haar_fisz(s, w):
-    """sig, t, d, s: halved differences of pairs over the root of their mean (0 if that is 0), and the means; and back: a, b."""
-    mean, diff = F.sum("v") / 2, F.sum(F.when(F.col("t") % 2 == 0, F.col("v")).otherwise(-F.col("v"))) / 2
-    p = s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg(diff.alias("e"), mean.alias("s")).withColumn("d", F.when(F.col("s") == 0, 0.0).otherwise(F.col("e") / F.sqrt("s")))
+    """sig, t, d, s: halved differences of pairs over the root of their mean (0 if that is 0), and the means; and back: a, b. An unpaired last sample is its own mean."""
+    even = F.col("t") % 2 == 0
+    p = s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg(F.max(F.when(even, F.col("v"))).alias("a"), F.max(F.when(~even, F.col("v"))).alias("b"))
+    p = p.withColumn("s", F.coalesce((F.col("a") + F.col("b")) / 2, "a")).withColumn("d", F.when(F.col("b").isNull() | (F.col("s") == 0), 0.0).otherwise((F.col("a") - F.col("b")) / 2 / F.sqrt("s"))).withColumn("paired", F.col("b").isNotNull())
     back = F.col("d") * F.sqrt("s")
-    return p.select("sig", "t", "d", "s", (F.col("s") + back).alias("a"), (F.col("s") - back).alias("b"))
+    return p.select("sig", "t", "d", "s", (F.col("s") + back).alias("a"), F.when(F.col("paired"), F.col("s") - back).alias("b"))
 
 
 _signal(
@@ -208,10 +209,12 @@ _signal(
 
 
 def haar_levels(s, w, levels: int = 4):
-    """sig, level, t, d: the differences of each level's pairs of means, and at level + 1 the means that are left."""
+    """sig, level, t, d: the differences of each level's pairs of means, and at level + 1 the means that are left; an unpaired last one goes up as it is."""
     out = []
     for level in range(1, levels + 1):
-        s = s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg((F.sum(F.when(F.col("t") % 2 == 0, F.col("v")).otherwise(-F.col("v"))) / 2).alias("d"), (F.sum("v") / 2).alias("v"))
+        even = F.col("t") % 2 == 0
+        p = s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg(F.max(F.when(even, F.col("v"))).alias("a"), F.max(F.when(~even, F.col("v"))).alias("b"))
+        s = p.select("sig", "t", F.coalesce((F.col("a") - F.col("b")) / 2, F.lit(0.0)).alias("d"), F.coalesce((F.col("a") + F.col("b")) / 2, "a").alias("v"))
         out.append(s.select("sig", F.lit(level).alias("level"), "t", "d"))
     out.append(s.select("sig", F.lit(levels + 1).alias("level"), "t", F.col("v").alias("d")))
     return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])

@@ -122,7 +122,7 @@ def _runmin(s, size: int = 50):
     return baselines.run_min(s.select("sig", "t", "v"), F.col("v"), "m", size, baselines.length(s)).select("sig", "t", F.col("m").alias("v"))
 
 
-_signal("gaussian_filter_t", _gauss_sql("g", "sig", 2.5) + " SELECT sig, t, round(v, 6) + 0.0 AS v FROM g", lambda s: baselines.gaussian(s, 2.5, baselines.length(s)))
+_signal("gaussian_filter_t", _gauss_sql("g", "sig", 2.5) + " SELECT sig, t, round(v, 6) + 0.0 AS v FROM g", lambda s: baselines.gaussian(s, 2.5))
 
 _FLAT = _run_sql("a", "sig", "0.0 - v", 50) + _run_sql("tu", "a_r", "0.0 - a", 50) + ", fl AS (SELECT *, v - tu AS flat FROM tu_r)"
 _FLAT += _run_sql("b", "fl", "flat", 200) + _run_sql("c", "b_r", "0.0 - b", 200) + _run_sql("d", "c_r", "0.0 - flat", 50) + _run_sql("e", "d_r", "0.0 - d", 50)

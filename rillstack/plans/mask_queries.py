@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rillstack.operators import frames as fr
 from rillstack.operators import masks as op
-from rillstack.sources.fixtures import FRAMES_SQL, PERIODS, frames
+from rillstack.sources.fixtures import FRAMES_SQL, frames
 
 QUERIES, ORACLES = {}, {}
 
@@ -44,7 +44,7 @@ _add(
     _SEGMENTS
     + """, st AS (SELECT t, count(*) AS total, count(*) FILTER (overlap < 1) AS inits, count(*) FILTER (next < 1 AND t < 89) AS stops, floor(avg(size) FILTER (overlap < 1)) AS a, avg(size - overlap) FILTER (overlap >= 1) AS g FROM sg GROUP BY t)
  SELECT t, coalesce(inits, 0) AS inits, coalesce(stops, 0) AS stops, greatest(coalesce(total - inits - stops, 0), 0) AS carryover, CAST(coalesce(a, 0) AS BIGINT) AS avg_new_size, round(coalesce(g, 0), 6) AS growth_rate FROM (SELECT DISTINCT t FROM fr) LEFT JOIN st USING (t)""",
-    lambda f: op.segment_states(op.label_frames(op.binary_movie(f), fr.extent(f)[2]), f.select("t").distinct(), PERIODS - 1),
+    lambda f: op.segment_states(op.label_frames(op.binary_movie(f), fr.extent(f)[2]), f.select("t").distinct(), fr.extent(f)[0] - 1),
 )
 _add(
     "neighbour_correlation_signals",
@@ -54,7 +54,7 @@ _add(
  k AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY r DESC, y, x) AS k FROM z), w AS (SELECT cy, cx, y, x, CASE WHEN k <= 10 THEN r ELSE 0 END AS r FROM k),
  n AS (SELECT *, sum(r) OVER (PARTITION BY cy, cx) AS s FROM w)
  SELECT CAST(cy AS BIGINT) AS cy, CAST(cx AS BIGINT) AS cx, t, round(sum(v * (r / s + 1e-6)), 6) AS v FROM pt JOIN n USING (cy, cx, y, x) WHERE s > 0 GROUP BY cy, cx, t""",
-    lambda f: op.neighbour_signals(f, PERIODS),
+    lambda f: op.neighbour_signals(f, fr.extent(f)[0]),
 )
 _TILE = ", o AS (SELECT unnest([0, 2, 4, 6]) AS o), tl AS (SELECT fr.*, exp(-0.5 * ((y - a.o - 1.5) * (y - a.o - 1.5) + (x - b.o - 1.5) * (x - b.o - 1.5)) / 2.25) AS w FROM fr JOIN o a ON y >= a.o AND y < a.o + 4 JOIN o b ON x >= b.o AND x < b.o + 4)"
 _add(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillstack.operators import baselines
+from rillstack.operators import frames as fr
 from rillstack.sources.fixtures import SIGNALS_SQL, signals
 
 
@@ -45,18 +47,11 @@ def _add(name: str, sql: str, build, digits: int = 6) -> None:
     QUERIES[name], ORACLES[name] = query, f"WITH {SIGNALS_SQL} {sql}"
 
 
-def _reflected(s: DataFrame, n: int, length: int) -> DataFrame:
-    """The signals with n samples more on each side, mirrored with the edge sample repeated."""
-    head = s.where(F.col("t") < n).withColumn("t", -1 - F.col("t"))
-    tail = s.where(F.col("t") >= length - n).withColumn("t", 2 * length - 1 - F.col("t"))
-    return s.union(head).union(tail)
-
-
-def rank_filter(s: DataFrame, w, size: int, rank: int, length: int = 720) -> DataFrame:
-    """sig, t, v: the sample of the given rank (from 0) in the window of `size` from t - size // 2 on."""
+def rank_filter(s: DataFrame, w, size: int, rank: int) -> DataFrame:
+    """sig, t, v: the sample of the given rank (from 0) in the window of `size` from t - size // 2 on, the ends mirrored."""
     half = size // 2
-    padded = _reflected(s, size, length).withColumn("v", F.element_at(F.array_sort(F.collect_list("v").over(w.rowsBetween(-half, size - 1 - half))), rank + 1))
-    return padded.where((F.col("t") >= 0) & (F.col("t") < length))
+    v = F.element_at(F.array_sort(F.collect_list("v").over(w.rowsBetween(-half, size - 1 - half))), rank + 1)
+    return baselines.within(baselines.mirrored(s, size).withColumn("v", v))
 
 
 _PAD = "pd AS (SELECT sig, t, v FROM sig UNION ALL SELECT sig, -1 - t, v FROM sig WHERE t < 9 UNION ALL SELECT sig, 1439 - t, v FROM sig WHERE t >= 711)"
@@ -93,14 +88,13 @@ _add(
 _add(
     "haar_step",
     "SELECT sig, CAST(t // 2 AS BIGINT) AS t, round((sum(CASE WHEN t % 2 = 0 THEN v ELSE -v END)) / 2, 6) AS d, round(sum(v) / 2, 6) AS s FROM sig GROUP BY sig, t // 2",
-    lambda s, w: s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg((F.sum(F.when(F.col("t") % 2 == 0, F.col("v")).otherwise(-F.col("v"))) / 2).alias("d"), (F.sum("v") / 2).alias("s")),
+    lambda s, w: s.groupBy("sig", F.floor(F.col("t") / 2).alias("t")).agg(F.when(F.count("*") == 2, F.sum(F.when(F.col("t") % 2 == 0, F.col("v")).otherwise(-F.col("v"))) / 2).otherwise(0.0).alias("d"), (F.sum("v") / F.count("*")).alias("s")),  # an unpaired sample is its own mean
 )
 
 
-def windowed_running_min(s: DataFrame, length: int = 720, size: int = 50) -> DataFrame:
+def windowed_running_min(s: DataFrame, size: int = 50) -> DataFrame:
     """sig, t, v: least over the half-overlapping tiles of the greater of the running minima from both ends of a tile."""
-    grid = F.array(*(F.lit(o).cast("long") for o in [*range(0, length - size, size - size // 2), length - size]))
-    tiled = s.withColumn("o", F.explode(F.filter(grid, lambda o: (o <= F.col("t")) & (F.col("t") < o + size))))
+    tiled = s.withColumn("n", baselines.own_length()).withColumn("o", F.explode(fr.origins(F.col("t"), F.col("n"), size, size // 2)))
     w = Window.partitionBy("sig", "o").orderBy("t")
     ends = (F.min("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.min("v").over(w.rowsBetween(0, Window.unboundedFollowing)))
     return tiled.withColumn("v", F.greatest(*ends)).groupBy("sig", "t").agg(F.min("v").alias("v"))
@@ -151,13 +145,15 @@ _add(
 )
 
 
-def percentile_baseline(s: DataFrame, w, size: int = 25, rank: int = 6, th: float = 3.0, length: int = 720) -> DataFrame:
+def percentile_baseline(s: DataFrame, w, size: int = 25, rank: int = 6, th: float = 3.0) -> DataFrame:
     """sig, t, v: running rank (6 of 25: the lower quartile) between median-padded ends, shifted by the median of the
     residuals within th robust deviations (plain ones if those are 0) where there are more than 10."""
     half, own = size // 2, Window.partitionBy("sig")
-    pad = lambda cond, first: s.where(cond).groupBy("sig").agg(F.expr("percentile(v, 0.5)").alias("v")).select("sig", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + half - 1).cast("long"))).alias("t"), "v")
-    padded = s.union(pad(F.col("t") < 10, -half)).union(pad(F.col("t") >= length - 10, length))
-    b = padded.withColumn("b", F.element_at(F.array_sort(F.collect_list("v").over(w.rowsBetween(-half, half))), rank + 1)).where(F.col("t").between(0, length - 1))
+    s = s.select("sig", "t", "v", baselines.own_length().alias("n"))
+    span = lambda a: F.explode(F.sequence(a, a + (half - 1))).alias("t")
+    pad = lambda cond, first: s.where(cond).groupBy("sig", "n").agg(F.expr("percentile(v, 0.5)").alias("v")).select("sig", span(first), "v", "n")
+    padded = s.union(pad(F.col("t") < 10, F.lit(-half).cast("long"))).union(pad(F.col("t") >= F.col("n") - 10, F.col("n")))
+    b = padded.withColumn("b", F.element_at(F.array_sort(F.collect_list("v").over(w.rowsBetween(-half, half))), rank + 1)).where((F.col("t") >= 0) & (F.col("t") < F.col("n")))
     d = b.withColumn("d", F.col("v") - F.col("b")).withColumn("c", F.abs(F.col("d") - F.expr("percentile(d, 0.5)").over(own)))
     d = d.withColumn("mad", 1.4826 * F.expr("percentile(c, 0.5)").over(own)).withColumn("sd", F.stddev_pop("d").over(own))
     d = d.withColumn("near", F.when(F.abs("d") <= th * F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")), F.col("d")))
