@@ -198,7 +198,7 @@ def test_lm_gradient_and_window():
     """Gradients against differences; a window of one text has the likelihood that scoring gives."""
     r = np.random.default_rng(2)
     m = attention_lm.Model(np.arange(600, 0, -1))
-    y = r.integers(0, 600, (2, 32)).astype(np.int32)
+    y = r.integers(0, 600, (2, attention_lm.SPAN)).astype(np.int32)
     x = np.concatenate((np.full((2, 1), attention_lm.OPEN), attention_lm.row_of(y[:, :-1])), 1).astype(np.int32)
     g, loss, n = m.gradient(x, y)
     for k in ("e", "v", "w1", "w2", "o1", "c1", "o2", "c2"):
@@ -209,8 +209,8 @@ def test_lm_gradient_and_window():
             ends.append(m.gradient(x, y)[1])
         m.p[k][at] = old
         assert abs((ends[0] - ends[1]) / 0.04 / n - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-4
-    each, last = attention_lm.Scorer(m).score(y[:, :-1].ravel(), np.array([0, 31, 62]), int(y[0, -1]))
-    assert abs(-each[:16].sum() - m.gradient(x[:1, :], np.where(np.arange(32) < 16, y[:1], -1))[1]) < 1e-3
+    each, last = attention_lm.Scorer(m).score(y[:, :-1].ravel(), np.arange(3) * (attention_lm.SPAN - 1), int(y[0, -1]))
+    assert abs(-each[: attention_lm.HOP].sum() - m.gradient(x[:1, :], np.where(np.arange(attention_lm.SPAN) < attention_lm.HOP, y[:1], -1))[1]) < 0.01 * -each[: attention_lm.HOP].sum()  # exponentials by lines between powers of two
 
 
 def test_lm_learns(spark):
