@@ -126,9 +126,9 @@ def median_spline(v: np.ndarray, s: float, size: int = 3) -> np.ndarray:
     return l2_spline(np.median(np.lib.stride_tricks.sliding_window_view(padded, size), 1), s)
 
 
-def reconstruct(v: np.ndarray, on: np.ndarray, s: float = 1.0, least: int = 3, rounds: int = 10) -> np.ndarray:
+def reconstruct(v: np.ndarray, on: np.ndarray, s: float = 1.0, least: int = 3, rounds: int = 10, smoothed: bool = True) -> np.ndarray:
     """The transients of v (in noise deviations) that the labels mark: smoothed under a mask that grows by a sample on each side where the
-    smooth is over 1.25 times its positive mean, and shrinks where it is under half of it."""
+    smooth is over 1.25 times its positive mean, and shrinks where it is under half of it. Not smoothed: the positive samples under the mask."""
     if not runs_of(on, least).any():
         return np.zeros(len(v))
     mask = on.copy()
@@ -140,4 +140,4 @@ def reconstruct(v: np.ndarray, on: np.ndarray, s: float = 1.0, least: int = 3, r
             grown, shrunk = wide[:-2] | wide[1:-1] | wide[2:], wide[:-2] & wide[1:-1] & wide[2:]
             mask = np.where(rec > 1.25 * mean, grown, np.where(rec < 0.5 * mean, shrunk, mask))
         rec = np.maximum(median_spline(v * mask, s), 0)
-    return rec
+    return rec if smoothed else v * ((rec > 0) & (v > 0) & mask)

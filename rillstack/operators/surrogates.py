@@ -26,13 +26,12 @@ def shuffled(rows: DataFrame, keys: list[str], salt: str = "shuffle") -> DataFra
 
 def jittered(rows: DataFrame, keys: list[str], sigma: dict[str, float], salt: str = "jitter") -> DataFrame:
     """keys, axes, v: cells swapped with others near them. In order of the axes each cell takes the value of a cell some normal number of
-    steps off (within the extents) and gives that cell its own; the last value that a cell is given stays."""
+    steps off (within its group's extents) and gives that cell its own; the last value that a cell is given stays."""
     axes = list(sigma)
-    last = rows.agg(*(F.max(a).alias(a) for a in axes)).first()
-    own = rows
+    own = rows.withColumns({f"last_{a}": F.max(a).over(Window.partitionBy(*keys)) for a in axes})
     for a in axes:
         step = F.round(normal(f"{salt}:{a}", [*keys, *axes]) * sigma[a]).cast("long")
-        own = own.withColumn(f"to_{a}", F.least(F.greatest(F.col(a) + step, F.lit(0)), F.lit(last[a] or 0)))
+        own = own.withColumn(f"to_{a}", F.least(F.greatest(F.col(a) + step, F.lit(0)), F.col(f"last_{a}")))
     turn = F.struct(*axes).alias("turn")
     gives = own.select(*keys, *(F.col(f"to_{a}").alias(a) for a in axes), turn, "v")
     takes = own.drop("v").join(rows.select(*keys, *(F.col(a).alias(f"to_{a}") for a in axes), "v"), [*keys, *(f"to_{a}" for a in axes)]).select(*keys, *axes, turn, "v")
