@@ -8,8 +8,9 @@ gives all locations; neighbouring locations on one diagonal add up to the longes
 Only suffixes that open with three words in a row of some item (or as many as a shorter item has) go into a shard's
 array: no other can share a window. The array is ordered by as many words as a window has, which is all that the search reads.
 
-The corpus is never shuffled. The benchmark is split into blocks of at most `BLOCK_WORDS` words, and one block at a
-time is sent to the tasks, so what is broadcast does not grow; with several blocks their results meet by row.
+The corpus is never shuffled. The benchmark is split into blocks of about `BLOCK_WORDS` words, and one block at a time is
+sent to the tasks, so what is broadcast does not grow; with several blocks their results meet by row. Blocks are dealt by what items hold, so
+many items of one item_id spread; items longer than a block go in overlapping pieces (a match that runs over the end of a piece counts to it in `longest`).
 
 Defined cases: a null or empty text has no words and is clean; an item without words is never found; repeated rows
 each count, items of one item_id count and are named once; items without an item_id count together as one item without a name, whose passages are hits as any
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillstack.llm.text import U64, Words, buffers, mix, ngrams, row_key, slices, spark_tables, word_table
+from rillstack.llm.text import U64, Words, buffers, mix, ngrams, row_key, slices, spark_tables, stash, word_table
 
 WINDOW = 10
-#: Benchmark words that are sent to the tasks at once: a window of 10 hashes and its places each, some 120 MB together. An item is never split.
+#: Benchmark words that are sent to the tasks at once: a window of 10 hashes and its places each, some 120 MB together.
 BLOCK_WORDS = 1_000_000
 _ALNUM = word_table("alnum")
 _MAP = 20
@@ -159,11 +160,15 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WORDS):
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     items = benchmark.select("item_id", "text").mapInArrow(extract, f"item_id {kind}, h array<long>")
-    deal = F.when(F.col("item_id").isNull(), F.xxhash64("h")).otherwise(F.xxhash64("item_id"))
     words = items.agg(F.sum(F.size("h"))).first()[0] or 0
     parts = max(1, -(-words // most))
+    if parts > 1:  # rows alike once, long items in pieces that share all but one word of a window, dealt by what they hold
+        starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.size("h") - window, F.lit(0)).cast("long"), F.lit(most).cast("long"))
+        items = stash(items.distinct().select("item_id", F.explode(F.transform(starts, lambda a: F.slice("h", (a + 1).cast("int"), most + window - 1))).alias("h")))
     for k in range(parts):
-        got = items.where(F.pmod(deal, F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
+        got = items.where(F.pmod(F.xxhash64("item_id", "h"), F.lit(parts)) == k).toArrow() if parts > 1 else items.toArrow()
+        if parts > 1 and not got.num_rows:
+            continue
         yield Tests(sorted([(i, np.array(h, np.int64).view(U64)) for i, h in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)], key=lambda x: (x[0] is not None, x[0])), window)
 
 

@@ -2,10 +2,13 @@
 
 Each page is read as a run of tags and texts. Containers (div, article, section and so on) are named by generalised
 paths, tags with their classes with digits taken out, told apart by 64-bit hashes. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are known by tag or by whole class words, in inline elements too, and never count; a container known by class that
-holds most of the page's plain text stays, and its text counts a quarter in the scores. A page's containers are scored by the text under them, more
+scripts, styles and comments are known by tag or by whole class words, in inline elements too, and never count, however much text they hold.
+Only where no plain text but headings stands outside of containers known by class does the largest of them stay (the same holds within it), and
+its text counts a quarter in the scores. Words that also name parts of an article (`MILD`: social, legal, alert and the like) say nothing about
+headings and paragraphs, nor about what stands in an `article` or `main`. A page's containers are scored by the text under them, more
 for those that mark an article, less for text in links; each page shares out its vote among its containers by score. Votes are
-added up by host and path in Spark, and every page is read once more with its host's winning path. A page where that
+added up by host and path in Spark, and every page is read once more with its host's winning path; headings and plain paragraphs that stand
+before the chosen container in its parent (title, lead) join it. A page where that
 path has less than a quarter of the score of the page's own best container is read with its own best.
 
 Votes are aggregated partially, so one host may hold any share of the pages; winners (a row for each host) are broadcast only if
@@ -49,6 +52,9 @@ _INLINE = {"span", "a", "ins", "b", "i", "em", "strong", "small", "label", "font
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Class words are split at hyphens: one is bad if all its parts are bad or say where it stands, and not all the latter.
 _BAD = re.compile(r"(?:ads?|adverts?|advertisements?|advertising|banners?|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|notices?|alerts?|gdpr|popups?|modals?|sidebars?|side|widgets?|menus?|nav(?:bar|igation)?|breadcrumbs?|headers?|masthead|footers?|comments?|commentlist|replies|reply|respond|disqus|discussion|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|login|search|toolbar|pagination|pager|hidden|copyright|legal)\d*", re.I)
+#: Of these, what may as well name a part of an article.
+_MILD = re.compile(r"(?:social|legal|alerts?|notices?|copyright|search|headers?|side)\d*", re.I)
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _PLACE = re.compile(r"(?:page|site|main|global|top|bottom|left|right|center|inner|outer|upper|lower|primary|secondary|first|last|sub|small|large|mini|box|area|container|wrapper|wrap|list|bar|block|section|panel|items?|links?|group|row|col|columns?|entry|posts?|articles?|content|text|body|title|icons?|buttons?|btn|form|fields?|image|img|media|native|sticky|fixed|floating|mobile|desktop|js|module|region|zone|slot|unit|holder|layer|overlay|policy|law|info|message|success|warning|danger|error|user|blog)?\d*", re.I)
 #: What a block counts for in a container that its class words speak against, but that holds most of the page's plain text.
 _DOUBT = 0.25
@@ -57,11 +63,12 @@ _EMPTY = re.compile(r"""(?:^|[\s"'])/\Z""")
 _GOOD = re.compile(r"(?:^|[-_ ])(?:articles?|content|post|entry|story|body|text|main|page)(?:$|[-_ ]|\d)", re.I)
 
 
-def bad(names: str) -> bool:
-    """Whether a class or id word says that what it marks is not the page's own text."""
+def bad(names: str, mild: bool = True) -> bool:
+    """Whether a class or id word says that what it marks is not the page's own text; mild: words that may name a part of it count too."""
     for name in names.split():
         parts = re.split("[-_]+", name)
-        if any(_BAD.fullmatch(x) for x in parts) and all(_BAD.fullmatch(x) or _PLACE.fullmatch(x) for x in parts):
+        speaks = [_BAD.fullmatch(x) and (mild or not _MILD.fullmatch(x)) for x in parts]
+        if any(speaks) and all(x or _PLACE.fullmatch(y) or _MILD.fullmatch(y) for x, y in zip(speaks, parts, strict=True)):
             return True
     return False
 
@@ -100,11 +107,11 @@ def _tags(page: str):
 
 
 class Page:
-    """Blocks (container, text, characters in links, doubt) of a page; containers as (parent, tag, classes, hash, depth),
+    """Blocks (container, text, characters in links, doubt, heading) of a page; containers as (parent, tag, classes, hash, depth),
     parents first. -1: none."""
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[int, str, int, int]] = []
+        self.blocks: list[tuple[int, str, int, int, bool]] = []
         self.containers: list[tuple[int, str, tuple, int, int]] = []
         doubts: list[int] = []  # the doubtful container each stands in
         known: dict[tuple, int] = {}
@@ -117,7 +124,7 @@ class Page:
             if text:
                 whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
                 if whole:
-                    self.blocks.append((stack[-1][1] if stack else -1, whole, linked, stack[-1][3] if stack else -1))
+                    self.blocks.append((stack[-1][1] if stack else -1, whole, linked, stack[-1][3] if stack else -1, bool(stack) and stack[-1][0] in _HEADING))
                 text.clear()
             linked = 0
 
@@ -178,7 +185,8 @@ class Page:
                 pop()
             parent, never, doubt = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (-1, False, -1)
             never = never or tag in _NEVER or hidden
-            if not never and names and tag not in ("html", "body", "article", "main") and bad(names):
+            own_text = open_["article"] or open_["main"]
+            if not never and names and tag not in ("html", "body", "article", "main") and bad(names, not (own_text or tag in _BLOCK_ONLY)):
                 if tag in _BLOCK_ONLY:
                     never = True
                 else:
@@ -195,19 +203,23 @@ class Page:
             stack.append((tag, number, never, doubt, False))
             open_[tag] += 1
         close()
-        # doubtful containers stay only if they, and those around them, hold most of the plain text
-        held, plain = [0] * len(doubts), 0
+        # of doubtful containers only the largest stays, and only where no plain text but headings stands beside them; the same within it
+        held, beside = [0] * len(doubts), [0] * (len(doubts) + 1)  # the last place: outside of all
         for b in self.blocks:
             if _plain(b):
-                plain += len(b[1])
+                beside[b[3]] += 0 if b[4] else len(b[1])
                 if b[3] >= 0:
                     held[b[3]] += len(b[1])
         for d in range(len(doubts) - 1, -1, -1):
             if doubts[d] >= 0:
                 held[doubts[d]] += held[d]
-        stays = []
+        largest: dict[int, int] = {}
         for d, up in enumerate(doubts):
-            stays.append(2 * held[d] > plain and (up < 0 or stays[up]))
+            if held[d] > held[largest[up]] if up in largest else held[d] > 0:
+                largest[up] = d
+        stays = [False] * len(doubts)
+        for d, up in enumerate(doubts):  # those around come first
+            stays[d] = (up < 0 or stays[up]) and not beside[up] and largest.get(up) == d
         self.blocks = [b for b in self.blocks if b[3] < 0 or stays[b[3]]]
 
     @staticmethod
@@ -232,11 +244,17 @@ class Page:
         return out
 
     def under(self, own: int) -> list[str]:
-        """The texts of the blocks in a container."""
+        """The texts of the blocks in a container, after the plain ones that stand before it in its parent."""
         inside = [False] * len(self.containers)
         for p, (parent, *_) in enumerate(self.containers):
             inside[p] = p == own or parent >= 0 and inside[parent]
-        return [b[1] for b in self.blocks if b[0] >= 0 and inside[b[0]]]
+        parent, lead, out = self.containers[own][0], [], []
+        for b in self.blocks:
+            if b[0] >= 0 and inside[b[0]]:
+                out.append(b[1])
+            elif b[0] == parent and not out and _plain(b):
+                lead.append(b[1])
+        return lead + out if out else []
 
 
 def _plain(block: tuple) -> bool:

@@ -7,6 +7,7 @@ are cut into slices of a few megabytes (never inside a document), so memory stay
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -127,11 +128,13 @@ def spark_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the cluster names none (tests), one of our own is set."""
+    """The folder that all executors share. Only where none is named and all runs in one process (tests), one of our own is set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.conf.get("spark.rillstack.checkpoint", None)
         if not where:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             where = "file://" + tempfile.mkdtemp(prefix="spark-rillstack-")
             spark.conf.set("spark.rillstack.checkpoint", where)
     return where.rstrip("/")
