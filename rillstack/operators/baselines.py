@@ -48,8 +48,8 @@ def gauss_weights(sigma: float) -> list[float]:
     return [x / math.fsum(raw) for x in raw]
 
 
-def gaussian(s: DataFrame, sigma: float) -> DataFrame:
-    """sig, t, v: mean under normal weights, ends mirrored."""
+def gaussian(s: DataFrame, sigma: float, n: int | None = None) -> DataFrame:
+    """sig, t, v: mean under normal weights, ends mirrored. Each signal's own length counts; n is not read any more."""
     weights = gauss_weights(sigma)
     reach = len(weights) // 2
     near = F.collect_list("v").over(by_time().rowsBetween(-reach, reach))
