@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillstack.functions.shared import cut
-from rillstack.operators import baselines, events3d, labelers, masks, peaks, steps
+from rillstack.operators import events3d, labelers, masks, peaks, steps
 from rillstack.operators import frames as fr
 from rillstack.operators import windowed_svd as ws
 
