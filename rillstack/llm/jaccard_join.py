@@ -271,9 +271,9 @@ def _other_references(placed: DataFrame, threshold: int) -> DataFrame:
     large = placed.select("e", F.col("c").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("g").alias("h"), F.col("root").alias("other"), number(F.col("n")).alias("k"))
     # what all of a block's members of one group have in common decides whether an entry can meet any of them
     heads = large.groupBy("e", "k", "h").agg(F.min("m").alias("m0"), F.max("m").alias("m1"), F.min(F.col("j") - F.col("m")).alias("j0"), F.min("other").alias("r0"), F.max("other").alias("r1"))
-    groups = small.select("e", "k", "g").distinct().join(heads, ["e", "k"]).where("g <> h")
-    sent = small.join(groups, ["e", "k", "g"]).where(f"n <= m1 and not (root = r0 and root = r1) and {more} * greatest(i - n, j0) <= -{threshold} * (n + greatest(n, m0))")
-    both = sent.select("e", "k", "h", "c", "n", "i", "root").join(large, ["e", "k", "h"]).where(
+    groups = small.select("e", "k", "g").distinct().join(heads.hint("merge"), ["e", "k"]).where("g <> h")
+    sent = small.join(groups.hint("merge"), ["e", "k", "g"]).where(f"n <= m1 and not (root = r0 and root = r1) and {more} * greatest(i - n, j0) <= -{threshold} * (n + greatest(n, m0))")
+    both = sent.select("e", "k", "h", "c", "n", "i", "root").join(large.hint("merge"), ["e", "k", "h"]).where(
         f"(n < m or n = m and c < y) and root <> other and {more} * greatest(i - n, j - m) <= -{threshold} * (n + m)"
     )
     pairs = both.groupBy(F.col("c").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("o"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"))
@@ -339,10 +339,11 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, bit
     # groups that have more than one component, the reference's own among them
     heads = root(members.select("g").distinct().withColumn("x", F.col("g")), "x").select("g", "root")
     split = members.select("g", "root").union(heads).groupBy("g").agg(F.min("root").alias("u"), F.max("root").alias("v")).where("u < v").select("g")
-    near = _same_reference(stash(members.join(split, "g", "left_semi")), texts, reps, width, threshold)
+    # the two kinds of pairs are written one after the other: planned together, their stages and broadcasts fill the driver
+    near = stash(_same_reference(stash(members.join(split, "g", "left_semi")), texts, reps, width, threshold))
     placed = root(index.join(members.select(F.col("x").alias("c"), "g"), "c", "left").withColumn("g", F.coalesce("g", "c")), "c")
     open_ = placed.groupBy("e").agg(*(f(c).alias(f"{c}{k}") for c in ("g", "root") for k, f in enumerate((F.min, F.max)))).where("g0 < g1 and root0 < root1").select("e")
-    far = _other_references(stash(placed.join(open_, "e", "left_semi")), threshold)
+    far = stash(_other_references(stash(placed.join(open_, "e", "left_semi")), threshold))
     more = _overlaps(stash(_close(near.union(far), once, threshold)), texts, reps, width).where(link).select("a", "b")
     # the texts of one doc_id
     known = keyed.where("_n > 0 and doc_id is not null").select("doc_id", "_c")

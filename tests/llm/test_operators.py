@@ -213,6 +213,17 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in links for x in (a, b) if a != b} | {x: got[x] for x in got if find(x) == got[x]}
 
 
+def test_components_spare_the_driver(spark):
+    """A star is seen to be done after one round, and no step sends a table through the driver."""
+    links, sc = spark.createDataFrame([(k, 0) for k in range(1, 400)], "a long, b long"), spark.sparkContext
+    before, plans = sc.statusTracker().getJobIdsForGroup(None), spark._jsparkSession.sharedState().statusStore()
+    count = plans.executionsCount()
+    assert {(x.node, x.root) for x in components.components(links).collect()} == {(k, 0) for k in range(400)}
+    assert len(set(sc.statusTracker().getJobIdsForGroup(None)) - set(before)) <= 18
+    own = [x.physicalPlanDescription() for x in (plans.executionsList().apply(k) for k in range(count, plans.executionsCount()))]
+    assert own and not any("BroadcastExchange" in x for x in own)
+
+
 def test_decontaminate(docs, bench, monkeypatch):
     rows = {r.doc_id: r for r in decontaminate.matches(docs, bench).collect()}
     assert rows[None]["items"] == [1] and rows[None].longest == 14 and rows[12]["items"] == [2] and rows[13].spans and not rows[1].spans and rows[3].n_words == 0
